@@ -46,9 +46,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    own = _marked(docs)
-    copies = mixing.mix(spark, own, key="_row").groupBy("_row", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
-    both = own.join(copies.withColumnRenamed("source", "_source"), (F.col("source").eqNullSafe(F.col("_source"))) & (own["_row"] == copies["_row"]))
+    own = docs.select(*COLUMNS, F.xxhash64("doc_id", "text", "source").alias("_row"))
+    copies = mixing.mix(spark, own, key="_row").groupBy("_row").agg(F.max("copies").alias("copies")).where("copies > 0")
+    both = own.join(copies, "_row")
     return both.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*COLUMNS)
 
 
