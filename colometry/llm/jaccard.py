@@ -240,7 +240,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
             return t[n >= OFTEN].view(np.int64), n[n >= OFTEN]
 
         def batch(ids: pa.Array, c: list | np.ndarray, n: list | np.ndarray, mark: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array([mark] * len(ids))], names=["k", "c", "n", "token"])
+            return pa.RecordBatch.from_arrays([ids, pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array([mark] * len(ids), pa.bool_())], names=["k", "c", "n", "token"])
 
         kind_ = None
         for rows, data, bounds in chunks(batches, "text"):
