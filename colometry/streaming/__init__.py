@@ -1,0 +1,2 @@
+"""The alignment operators are row-local expressions and take a streaming DataFrame as it is; there is no
+state to keep and so nothing to add here."""
