@@ -296,10 +296,12 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
     checked: list[DataFrame] = []
     for k, most in enumerate(PARTNERS):
         # joined before tokens are listed; null stands for a class that is its own component
-        at = feats.select("c", "tokens").withColumn("comp", F.lit(None).cast("bigint")) if comps is None else feats.select("c", "tokens").join(comps, "c", "left")
-        tokens = at.select("c", F.nullif(F.col("comp"), F.col("c")).alias("moved"), F.explode(F.slice("tokens", 1, FIRST_TOKENS) if k == 0 else F.col("tokens")).alias("token"))
+        at = feats.select("c", "n", "tokens").withColumn("comp", F.lit(None).cast("bigint")) if comps is None else feats.select("c", "n", "tokens").join(comps, "c", "left")
+        tokens = at.select("c", F.col("n").cast("int").alias("n"), F.nullif(F.col("comp"), F.col("c")).alias("moved"), F.explode(F.slice("tokens", 1, FIRST_TOKENS) if k == 0 else F.col("tokens")).alias("token"))
         w = Window.partitionBy("token")
-        mixed = tokens.repartition("token").select("token", "c", F.coalesce("moved", "c").alias("comp")).select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"), F.count("*").over(w).alias("size")).where("lo < hi")
+        mixed = tokens.repartition("token").select("token", "c", "n", F.coalesce("moved", "c").alias("comp")).select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"), F.count("*").over(w).alias("size"), F.lag("n").over(w.orderBy("n")).alias("under"), F.lead("n").over(w.orderBy("n")).alias("over"))
+        # a member stays if the one next to it by size is near enough for any similarity
+        mixed = mixed.where(f"lo < hi and (10 * under >= {TENTHS} * n or {TENTHS} * over <= 10 * n)")
         # larger groups are cut into blocks, each pair of which is a group: (x, y) numbers it
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         x = F.pmod(F.xxhash64("c", F.lit(k)), blocks)
