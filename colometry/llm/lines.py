@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, merged, mix, prefix_sums, range_hash, stash
+from .common import chunks, lists, merged, mix, prefix_sums, range_hash, stash
 
 EDITS, MIN_CHARS = 2, 30
 #: Partners that a line names in a group, by round; None: all. Members of a group compared in one task.
-PARTNERS, BLOCK = (1, 8, 64, None), 2048
-#: Lines to verify that may be broadcast (8 bytes each); beyond, all lines are shuffled and joined.
+PARTNERS, BLOCK = (4, None), 2048
+#: Lines to verify, or places of lines to remove, that may be broadcast (about 8 bytes each); beyond, documents are shuffled and joined.
 BROADCAST = 2_000_000
+#: Bytes of text for each bucket of index and probe rows; a task holds the rows of one bucket.
+BUCKET_BYTES = 8 << 20
 
 
 def edits_within(x: str, y: str, most: int = EDITS) -> bool:
@@ -81,7 +83,10 @@ def segment(length: np.ndarray, i: int, edits: int = EDITS) -> tuple[np.ndarray,
 
 
 def segment_rows(sums: np.ndarray, lo: np.ndarray, size: np.ndarray, edits: int = EDITS) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(key, which lines, probe) of lines at lo with size code points, sums: of the code points."""
+    """(key, which lines, probe) of lines at lo with size code points, sums: of the code points.
+
+    An index row is the probe at its own place, too.
+    """
 
     def keys(length: np.ndarray, i: int, at: np.ndarray, q: np.ndarray) -> np.ndarray:
         return range_hash(sums, at, at + q) ^ mix(length.astype(np.uint64) * np.uint64(16) + np.uint64(i + 1))
@@ -93,43 +98,148 @@ def segment_rows(sums: np.ndarray, lo: np.ndarray, size: np.ndarray, edits: int
             p, q = segment(size - less, i, edits)
             for at in range(-i + min(0, less), i + less + edits + 1):
                 # places that both ends' remaining edits allow
-                if max(-i, less - (edits - i)) <= at <= min(i, less + (edits - i)):
+                if max(-i, less - (edits - i)) <= at <= min(i, less + (edits - i)) and (less or at):
                     ok = np.flatnonzero((p + at >= 0) & (p + at + q <= size))
                     yield keys((size - less)[ok], i, (lo + p + at)[ok], q[ok]), ok, True
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: set[int] = set()
-    for _, data, bounds in chunks(batches, "text", 1 << 20):
+def long_lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end in bytes, start and end in code points, and text of each line of MIN_CHARS code points or more."""
+    ahead = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=ahead[1:])
+    breaks = np.flatnonzero(data == 10)
+    begin = np.unique(np.concatenate([bounds[:-1], breaks + 1]))
+    doc = np.minimum(np.searchsorted(bounds, begin, "right"), len(bounds) - 1)
+    stop = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, begin)], bounds[doc])
+    long = np.flatnonzero(ahead[stop] - ahead[begin] >= MIN_CHARS)
+    begin, stop = begin[long], stop[long]
+    return begin, stop, ahead[begin], ahead[stop], doc[long] - 1
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes and places of each document's long lines."""
+    for rows, data, bounds in chunks(batches, "text"):
+        begin, stop, _, _, doc = long_lines(data, bounds)
         raw = data.tobytes()
-        text = raw.decode("utf-8")
-        cp = np.frombuffer(text.encode("utf-32-le"), "<u4")
-        ahead = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=ahead[1:])
+        own = np.array([line_hash(raw[a:b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], np.int64)
         breaks = np.flatnonzero(data == 10)
-        begin = np.unique(np.concatenate([bounds[:-1], breaks + 1]))
-        end = np.searchsorted(breaks, begin)
-        stop = np.where(end < len(breaks), breaks[np.minimum(end, max(0, len(breaks) - 1))] if len(breaks) else len(data), len(data))
-        stop = np.minimum(stop, bounds[np.minimum(np.searchsorted(bounds, begin, "right"), len(bounds) - 1)])
-        long = np.flatnonzero(ahead[stop] - ahead[begin] >= MIN_CHARS)
-        ids, at = [], []
-        for k in long.tolist():
-            own = line_hash(raw[begin[k] : stop[k]])
-            if own not in known:
-                if len(known) > 500_000:
-                    known.clear()
-                known.add(own)
-                ids.append(own)
-                at.append(k)
-        lo = ahead[begin[at]] if at else np.zeros(0, np.int64)
-        size = (ahead[stop[at]] if at else np.zeros(0, np.int64)) - lo
-        lids = np.array(ids, np.int64)
-        rows = list(segment_rows(prefix_sums(cp), lo, size))
-        who = np.concatenate([w for _, w, _ in rows])
-        probe = np.repeat([p for _, _, p in rows], [len(w) for _, w, _ in rows])
-        key = np.concatenate([k for k, _, _ in rows])
-        # the sign of the size tells probes from index rows
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lids[who]), pa.array(np.where(probe, -size[who], size[who]).astype(np.int32))], names=["key", "line", "size"])
+        place = np.searchsorted(breaks, begin) - np.searchsorted(breaks, bounds[doc])
+        cuts = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists(pa.array(own), cuts), lists(pa.array(place.astype(np.int32)), cuts)], names=["r", "k", "lines", "places"])
+
+
+def parities(cp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each range of code points 31 bits: whether the number of characters in a bin is odd.
+
+    An edit changes two bins at most, so lines within EDITS differ in 2 * EDITS bits at most.
+    """
+    if not len(lo):
+        return np.zeros(0, np.int32)
+    bits = np.append(np.uint32(1) << (cp * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(31), np.uint32(0))
+    return np.bitwise_xor.reduceat(bits, np.stack([lo, hi], axis=1).ravel())[::2].astype(np.int32)
+
+
+#: Kinds of packed rows: to be grouped, known to be shared, and standing for shared ones.
+_ROWS, _KNOWN, _STANDS = 0, 1, 2
+_ROW = np.dtype([("key", np.int64), ("line", np.int64), ("tag", np.int32)])
+
+
+def _keys(buckets: int):
+    """Index and probe rows of each line, packed by bucket of the key.
+
+    Rows whose key two lines of one chunk have need no grouping; two of them stand for all of their
+    chunk, so a very common segment sends two rows a chunk to its bucket, and the others go anywhere.
+    The tag has the parities, and the sign bit tells probes from index rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for n, (_, data, bounds) in enumerate(chunks(batches, "text")):
+            begin, stop, lo, hi, _ = long_lines(data, bounds)
+            raw = data.tobytes()
+            ids, at = [], []
+            for k, (a, b) in enumerate(zip(begin.tolist(), stop.tolist(), strict=True)):
+                own = line_hash(raw[a:b])
+                if own not in known:
+                    if len(known) > 500_000:
+                        known.clear()
+                    known.add(own)
+                    ids.append(own)
+                    at.append(k)
+            if not ids:
+                continue
+            lids, lo, hi = np.array(ids, np.int64), lo[at], hi[at]
+            cp = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), "<u4")
+            sig = parities(cp, lo, hi)
+            found = list(segment_rows(prefix_sums(cp), lo, hi - lo))
+            who = np.concatenate([w for _, w, _ in found])
+            rows = np.empty(len(who), _ROW)
+            rows["key"], rows["line"] = np.concatenate([k for k, _, _ in found]).view(np.int64), lids[who]
+            rows["tag"] = sig[who] | np.repeat(np.array([np.iinfo(np.int32).min if p else 0 for _, _, p in found], np.int32), [len(w) for _, w, _ in found])
+            rows = rows[np.argsort(rows["key"], kind="stable")]
+            cut, low, high = _ends(rows)
+            size = np.diff(np.append(cut, len(rows)))
+            many = (low < high) & (size > 2)
+            direct = np.repeat(many, size)
+            stands = np.zeros(2 * int(many.sum()), _ROW)
+            stands["key"], stands["line"] = np.repeat(rows["key"][cut[many]], 2), np.stack([low[many], high[many]], axis=1).ravel()
+            yield from _packed(rows[~direct], _ROWS, buckets)
+            yield from _packed(stands, _STANDS, buckets)
+            if direct.any():
+                yield _pack([(int(lids[0] + n) % buckets, rows[direct])], _KNOWN)
+
+    return run
+
+
+def _ends(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by key: where each key begins, its least and its largest line."""
+    cut = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+    return cut, np.minimum.reduceat(rows["line"], cut), np.maximum.reduceat(rows["line"], cut)
+
+
+def _pack(parts: list[tuple[int, np.ndarray]], kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), pa.array([kind] * len(parts), pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["bucket", "kind", "rows"])
+
+
+def _packed(rows: np.ndarray, kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    if not len(rows):
+        return
+    bucket = (mix(rows["key"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    yield _pack([(int(bucket[a]), rows[a:b]) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True)], kind)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose key another line has too. Buckets come whole, sorted; one is held at a time."""
+    held: list[tuple[int, np.ndarray]] = []
+    last = None
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[x])) for x in _ROW.names], names=list(_ROW.names))
+
+    def flush() -> pa.RecordBatch:
+        rows = np.concatenate([x for _, x in held])
+        own = np.concatenate([np.full(len(x), kind == _ROWS) for kind, x in held])
+        order = np.argsort(rows["key"], kind="stable")
+        rows, own = rows[order], own[order]
+        cut, low, high = _ends(rows)
+        return out(rows[np.repeat(low < high, np.diff(np.append(cut, len(rows)))) & own])
+
+    for batch in batches:
+        for bucket, kind, raw in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("rows"), strict=True):
+            rows = np.frombuffer(raw.as_buffer(), _ROW)
+            if kind == _KNOWN:
+                yield out(rows)
+                continue
+            if held and bucket != last:
+                yield flush()
+                held.clear()
+            last = bucket
+            held.append((kind, rows.copy()))
+    if held:
+        yield flush()
 
 
 def _candidates(most: int | None):
@@ -140,19 +250,25 @@ def _candidates(most: int | None):
         left = 0
 
         def group() -> int:
-            t = pa.Table.from_batches(held)
-            line, size, comp = (t.column(x).to_numpy() for x in ("line", "size", "comp"))
-            index, probe = np.flatnonzero(size > 0), np.flatnonzero(size < 0)
+            line, tag, comp = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("line", "tag", "comp"))
+            sig = (tag & np.int32(0x7FFFFFFF)).astype(np.uint32)
+            index = np.flatnonzero(tag >= 0)
             out = 0
-            index = index[np.argsort(line[index], kind="stable")]
-            for p in probe.tolist():
-                ok = index[(comp[index] != comp[p])]
-                if most is not None and len(ok) > most:
-                    out += len(ok) - most
-                    # another start for each line, so that lines don't all name the same few
-                    at = int(line[p]) % len(ok)
-                    ok = np.roll(ok, -at)[:most]
-                pairs.update((min(a, b), max(a, b)) for a in line[ok].tolist() for b in (int(line[p]),) if a != b)
+            # a block of all rows against all index rows
+            for a in range(0, len(line), 512):
+                own = slice(a, a + 512)
+                ok = (np.bitwise_count(sig[own, None] ^ sig[None, index]) <= 2 * EDITS) & (comp[own, None] != comp[None, index])
+                p, i = np.nonzero(ok)
+                x, y = line[own][p], line[index[i]]
+                if most is not None and len(p):
+                    # another order for each row, so that rows don't all name the same few
+                    order = np.lexsort((mix((x * 31 + y).view(np.uint64)), p))
+                    p, x, y = p[order], x[order], y[order]
+                    begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+                    keep = np.arange(len(p)) - np.repeat(begin, np.diff(np.append(begin, len(p)))) < most
+                    out += int((~keep).sum())
+                    x, y = x[keep], y[keep]
+                pairs.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
             return out
 
         def flush(left: int = 0) -> pa.RecordBatch:
@@ -187,23 +303,32 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
 
-def line_classes(spark: SparkSession, own: DataFrame, lines: DataFrame) -> DataFrame | None:
+def _texts(spark: SparkSession, own: DataFrame, where: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, words) of the wanted lines, each from one document that has it."""
+    few = wanted.count() <= BROADCAST
+    wanted = F.broadcast(wanted) if few else wanted
+    at = where.select("r", F.explode("lines").alias("line")).join(wanted, "line", "left_semi").groupBy("line").agg(F.min("r").alias("r")).select("r").distinct()
+    docs = own.join(F.broadcast(at) if few else at, "r", "left_semi").select(F.explode(F.split("text", "\n")).alias("words"))
+    return docs.where(F.length("words") >= MIN_CHARS).select(F.xxhash64("words").alias("line"), "words").join(wanted, "line", "left_semi").dropDuplicates(["line"])
+
+
+def line_classes(spark: SparkSession, own: DataFrame, where: DataFrame) -> DataFrame | None:
     """(c, comp): classes of line hashes with more than one line; None if there is none.
 
-    own has the texts (text), lines their long lines (line hash, text of the line)."""
-    rows = own.select("text").mapInArrow(_keys, "key bigint, line bigint, size int")
+    own has the documents (r, text), where their long lines (r, lines)."""
+    buckets = max(1, (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+    rows = own.select("text").mapInArrow(_keys(buckets), "bucket bigint, kind int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
     w = Window.partitionBy("key")
-    shared = rows.select("*", F.min("line").over(w).alias("lo"), F.max("line").over(w).alias("hi")).where("lo < hi").select("key", "line", "size").distinct()
-    shared = stash(spark, shared)
+    shared = stash(spark, rows.mapInArrow(_shared, "key bigint, line bigint, tag int").distinct())
     comps, checked = None, []
     for most in PARTNERS:
-        now = shared.withColumn("comp", F.col("line")) if comps is None else shared.join(comps, F.col("line") == F.col("c"), "left").select("key", "line", "size", F.coalesce("comp", "line").alias("comp"))
+        now = shared.withColumn("comp", F.col("line")) if comps is None else shared.join(comps, F.col("line") == F.col("c"), "left").select("key", "line", "tag", F.coalesce("comp", "line").alias("comp"))
         apart = now.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"), F.count("*").over(w).alias("n")).where("lo < hi")
         # a larger group is cut into blocks, each pair of blocks a part
         m = F.ceil(F.col("n") / BLOCK).cast("int")
-        cut = apart.select("key", "line", "size", "comp", m.alias("m"), F.pmod(F.xxhash64("line"), m).cast("int").alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"))
+        cut = apart.select("key", "line", "tag", "comp", m.alias("m"), F.pmod(F.xxhash64("line"), m).cast("int").alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"))
         part = (F.least("x", "y") * F.col("m") + F.greatest("x", "y")).cast("bigint")
-        dealt = cut.select("key", part.alias("part"), "line", "size", "comp").repartition("key", "part").sortWithinPartitions("key", "part")
+        dealt = cut.select("key", part.alias("part"), "line", "tag", "comp").repartition("key", "part").sortWithinPartitions("key", "part")
         found = stash(spark, dealt.mapInArrow(_candidates(most), "a bigint, b bigint, left_out bigint"))
         pairs = found.where("a <> b").select("a", "b").distinct()
         for old in checked:
@@ -211,9 +336,7 @@ def line_classes(spark: SparkSession, own: DataFrame, lines: DataFrame) -> DataF
         pairs = stash(spark, pairs)
         checked.append(pairs)
         wanted = stash(spark, pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
-        if wanted.count() <= BROADCAST:
-            wanted = F.broadcast(wanted)
-        texts = stash(spark, lines.join(wanted, "line", "left_semi").dropDuplicates(["line"]))
+        texts = stash(spark, _texts(spark, own, where, wanted))
         both = pairs.join(texts.select(F.col("line").alias("a"), F.col("words").alias("s")), "a").join(texts.select(F.col("line").alias("b"), F.col("words").alias("t")), "b")
         comps = merged(spark, comps, stash(spark, both.mapInArrow(_check, "a bigint, b bigint")))
         if not found.agg(F.coalesce(F.sum("left_out"), F.lit(0))).first()[0]:
@@ -233,16 +356,24 @@ def dedup_lines(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: s
     """
     kind = df.schema[key].dataType.simpleString()
     own = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.xxhash64("k", "text").alias("r"), "k", "text")
-    places = own.select("r", "k", F.posexplode(F.split("text", "\n")).alias("place", "words")).where(F.length("words") >= MIN_CHARS).select("r", "k", "place", "words", F.xxhash64("words").alias("line"))
-    comps = line_classes(spark, own, places.select("line", "words"))
-    where = stash(spark, places.select("r", "k", "place", "line"))
+    where = stash(spark, own.mapInArrow(_lines, f"r bigint, k {kind}, lines array<bigint>, places array<int>"))
+    comps = line_classes(spark, own, where)
+    places = where.select("r", "k", F.explode(F.arrays_zip("lines", "places")).alias("x")).select("r", "k", F.col("x.lines").alias("line"), F.col("x.places").alias("place"))
+    # lines that occur once and resemble none stay
+    doubtful = places.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
+    if comps is not None:
+        doubtful = doubtful.union(comps.select("c")).distinct()
+    where = stash(spark, places.join(doubtful, "line", "left_semi"))
     first = F.min(F.struct(F.col("k").isNull().alias("last"), "k", "r", "place")).alias("first")
     firsts = where.groupBy("line").agg(first)
     if comps is not None:
         firsts = firsts.join(comps.select(F.col("c").alias("line"), "comp"), "line", "left").select("line", "first", F.coalesce("comp", "line").alias("comp"))
         firsts = firsts.select("line", "comp", "first").join(firsts.groupBy("comp").agg(F.min("first").alias("best")), "comp").select("line", F.col("best").alias("first"))
     gone = where.join(firsts, "line").where("first.r <> r or first.place <> place").select("r", "place").distinct()
-    cut = gone.groupBy("r").agg(F.collect_list("place").alias("gone"))
+    cut = stash(spark, gone.groupBy("r").agg(F.collect_list("place").alias("gone"), F.count("*").alias("n")))
+    if (cut.agg(F.sum("n")).first()[0] or 0) <= BROADCAST:
+        cut = F.broadcast(cut)
+    cut = cut.select("r", "gone")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
