@@ -10,8 +10,9 @@ verified on the whole sets.
 
 Links that would join what is joined already need no check, so rounds go from few candidates to all: the
 best partners by few tokens first, components contracted, then all prefix tokens but only of groups that
-still hold two components, with more partners each round until none is left out. The components are those
-of all links.
+still hold two components. Each component names its best partners of other components in a group; groups in
+which pairs were left out, and only these, come again in the next round, with more partners, until none is.
+The components are those of all links.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import chunks, gram_hashes, lists, lowered, merged, mix, prefix_sum
 GRAM, TENTHS = 5, 8
 #: Tokens in the list of frequent ones, and occurrences in one buffer of TOKEN_BUFFER tokens that make a candidate for it.
 FREQUENT, OFTEN, TOKEN_BUFFER = 1 << 16, 8, 1 << 21
-#: Tokens used in the first round; partners that a member names in a group, by round; None: all.
+#: Tokens used in the first round; partners that a component names in a group, by round; None: all.
 FIRST_TOKENS, PARTNERS = 4, (2, 8, 64, None)
 #: Members of a group that are compared in one task; larger groups are compared by pairs of blocks.
 BLOCK = 2048
@@ -187,33 +188,36 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]
 def _candidates(most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        size = left = 0
+        left: list[int] = []
+        size = 0
         for group in _groups(batches):
             own = pa.Table.from_batches(group)
             c, n, comp, first = (own.column(x).to_numpy() for x in ("c", "n", "comp", "first"))
             i, j, score = similar(own.column("map").to_pylist(), n, first)
             apart = comp[i] != comp[j]
             i, j, score = i[apart], j[apart], score[apart]
-            keep = partners(i, j, score, most)
-            left += int((~keep).sum())
+            keep = partners(comp[i], comp[j], score, most)
+            if not keep.all():
+                left.append(int(group[0].column(0)[0].as_py()))
             i, j = i[keep], j[keep]
             if len(i):
                 out.append((np.minimum(c[i], c[j]), np.maximum(c[i], c[j])))
                 size += len(i)
             if size > 100_000:
-                yield _pairs(out)
-                out, size = [], 0
+                yield _pairs(out, left)
+                out, left, size = [], [], 0
         yield _pairs(out, left)
 
     return run
 
 
-def _pairs(out: list[tuple[np.ndarray, np.ndarray]], left: int = 0) -> pa.RecordBatch:
+def _pairs(out: list[tuple[np.ndarray, np.ndarray]], left: list[int]) -> pa.RecordBatch:
+    """Rows of pairs (token null), then of tokens in whose groups pairs were left out (a and b null)."""
     a = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in out)])
     b = np.concatenate([np.zeros(0, np.int64), *(x for _, x in out)])
-    pair = np.unique(np.stack([a, b]), axis=1)
-    a, b = np.append(pair[0], 0), np.append(pair[1], 0)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.append(np.zeros(len(a) - 1, np.int64), left))], names=["a", "b", "left_out"])
+    pair, none = np.unique(np.stack([a, b]), axis=1), pa.nulls(len(left), pa.int64())
+    columns = [pa.concat_arrays([pa.array(x), none]) for x in pair]
+    return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(pair.shape[1], pa.int64()), pa.array(left, pa.int64())])], names=["a", "b", "token"])
 
 
 # ---------------------------------------------------------------- the join
@@ -292,12 +296,15 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), lists(signed(np.concatenate([np.zeros(0, np.uint64), *firsts])), sizes), pa.array(maps, pa.binary())], names=["c", "n", "tokens", "map"])
 
     feats = stash(spark, own.mapInArrow(features, "c bigint, n bigint, tokens array<bigint>, map binary").dropDuplicates(["c"]))
-    comps = None
+    comps = open_ = None
     checked: list[DataFrame] = []
     for k, most in enumerate(PARTNERS):
         # joined before tokens are listed; null stands for a class that is its own component
         at = feats.select("c", "n", "tokens").withColumn("comp", F.lit(None).cast("bigint")) if comps is None else feats.select("c", "n", "tokens").join(comps, "c", "left")
         tokens = at.select("c", F.col("n").cast("int").alias("n"), F.nullif(F.col("comp"), F.col("c")).alias("moved"), F.explode(F.slice("tokens", 1, FIRST_TOKENS) if k == 0 else F.col("tokens")).alias("token"))
+        if k > 1:
+            # other groups have been compared to the end
+            tokens = tokens.join(open_, "token", "left_semi")
         w = Window.partitionBy("token")
         mixed = tokens.repartition("token").select("token", "c", "n", F.coalesce("moved", "c").alias("comp")).select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"), F.count("*").over(w).alias("size"), F.lag("n").over(w.orderBy("n")).alias("under"), F.lead("n").over(w.orderBy("n")).alias("over"))
         # a member stays if the one next to it by size is near enough for any similarity
@@ -310,16 +317,20 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
         grouped = mixed.select("token", part.cast("bigint").alias("part"), "c", "comp").join(feats.select("c", "n", F.element_at("tokens", 1).alias("first"), "map"), "c")
         grouped = grouped.select("token", "part", "c", "n", "comp", "first", "map")
         dealt = grouped.repartition("token", "part").sortWithinPartitions("token", "part")
-        found = stash(spark, dealt.mapInArrow(_candidates(most), "a bigint, b bigint, left_out bigint"))
-        pairs = found.where("a <> b").select("a", "b").distinct()
+        found = stash(spark, dealt.mapInArrow(_candidates(most), "a bigint, b bigint, token bigint"))
+        pairs = found.where("token is null").select("a", "b").distinct()
         for old in checked:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = stash(spark, pairs)
         checked.append(pairs)
         links = stash(spark, _verified(spark, own, docs, pairs))
         comps = merged(spark, comps, links)
-        if k and not found.agg(F.sum("left_out")).first()[0]:
-            break
+        if k:
+            open_ = found.where("token is not null").select("token").distinct()
+            n = open_.count()
+            if not n:
+                break
+            open_ = F.broadcast(open_) if n <= BROADCAST else open_
     classes = docs.where("c is not null").groupBy("c").agg(F.min("k").alias("low"))
     if comps is not None:
         classes = classes.join(comps, "c", "left").select("c", "low", F.coalesce("comp", "c").alias("comp"))
