@@ -64,8 +64,8 @@ def prefix_length(n: int) -> int:
 
 
 def width(n: int) -> int:
-    """Bits of a set's bitmap: about 4 to 8 a token."""
-    return max(64, 1 << (4 * n - 1).bit_length())
+    """Bits of a set's bitmap: 2 to 4 a token; with the slack, unrelated sets still share too few."""
+    return max(64, 1 << (2 * n - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
