@@ -9,9 +9,11 @@ size ranges; a dual traversal drops node pairs whose largest possible overlap is
 verified on the whole sets.
 
 Links that would join what is joined already need no check, so rounds go from few candidates to all. Each
-component names its best partners of other components in a group, one in the first round, so a group of m
-members makes m pairs at most. Groups in which pairs were left out, and only these, come again in the next
-round, components contracted, with more partners, until none is. The components are those of all links.
+component names its best partners of other components in a group. The first round takes few tokens, which
+joins most copies that grow with the corpus; the second takes all prefix tokens, but only of groups that
+still hold two components, and one partner each, so a group of m members makes m pairs at most. Groups in
+which pairs were left out, and only these, come again, components contracted, with more partners, until none
+is. The components are those of all links.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from .common import chunks, gram_hashes, lists, lowered, merged, mix, prefix_sum
 GRAM, TENTHS = 5, 8
 #: Tokens in the list of frequent ones, and occurrences in one buffer of TOKEN_BUFFER tokens that make a candidate for it.
 FREQUENT, OFTEN, TOKEN_BUFFER = 1 << 16, 8, 1 << 21
-#: Partners that a component names in a group, by round; None: all.
-PARTNERS = (1, 8, 64, None)
+#: Tokens used in the first round; partners that a component names in a group, by round; None: all.
+FIRST_TOKENS, PARTNERS = 4, (2, 1, 8, 64, None)
 #: Members of a group that are compared in one task; larger groups are compared by pairs of blocks.
 BLOCK = 2048
 LEAF = 16
@@ -63,8 +65,8 @@ def prefix_length(n: int) -> int:
 
 
 def width(n: int) -> int:
-    """Bits of a set's bitmap: 2 to 4 a token, 16 to 32 in small sets, whose bitmaps then tell them apart almost exactly."""
-    return max(64, 1 << (max(2 * n, min(16 * n, 2048)) - 1).bit_length())
+    """Bits of a set's bitmap: 2 to 4 a token, up to 32 in small sets, whose bitmaps then tell them apart almost exactly."""
+    return max(64, 1 << (max(2 * n, min(16 * n, 1024)) - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -300,8 +302,8 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
     for k, most in enumerate(PARTNERS):
         # joined before tokens are listed; null stands for a class that is its own component
         at = feats.select("c", "n", "tokens").withColumn("comp", F.lit(None).cast("bigint")) if comps is None else feats.select("c", "n", "tokens").join(comps, "c", "left")
-        tokens = at.select("c", F.col("n").cast("int").alias("n"), F.nullif(F.col("comp"), F.col("c")).alias("moved"), F.explode("tokens").alias("token"))
-        if k:
+        tokens = at.select("c", F.col("n").cast("int").alias("n"), F.nullif(F.col("comp"), F.col("c")).alias("moved"), F.explode(F.slice("tokens", 1, FIRST_TOKENS) if k == 0 else F.col("tokens")).alias("token"))
+        if k > 1:
             # other groups have been compared to the end
             tokens = tokens.join(open_, "token", "left_semi")
         w = Window.partitionBy("token")
@@ -324,11 +326,12 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
         checked.append(pairs)
         links = stash(spark, _verified(spark, own, docs, pairs))
         comps = merged(spark, comps, links)
-        open_ = found.where("token is not null").select("token").distinct()
-        open_size = open_.count()
-        if not open_size:
-            break
-        open_ = F.broadcast(open_) if open_size <= BROADCAST else open_
+        if k:
+            open_ = found.where("token is not null").select("token").distinct()
+            open_size = open_.count()
+            if not open_size:
+                break
+            open_ = F.broadcast(open_) if open_size <= BROADCAST else open_
     classes = docs.where("c is not null").groupBy("c").agg(F.min("k").alias("low"))
     if comps is not None:
         classes = classes.join(comps, "c", "left").select("c", "low", F.coalesce("comp", "c").alias("comp"))
