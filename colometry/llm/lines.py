@@ -1,9 +1,12 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines of MIN_CHARS code points or more are near copies if they are within EDITS edits. A line splits
-into EDITS + 1 segments; at so few edits one segment stays whole, at a place that its length and number
-allow. Each line's segments are index rows; its substrings at the allowed places, for each shorter length,
-are probe rows; equal hashes of (length, number, substring) make candidates (Pass-Join: Li et al., 2011).
+Two lines of MIN_CHARS code points or more are near copies if they are within `edits` of the shorter one's
+length: EDITS, and more as lines grow. At so few edits one of edits + 1 disjoint segments stays whole, and the
+k-th with k edits before and edits - k behind it at most (Li et al., 2011: Pass-Join). Segments of lines of
+similar length have one size; the first half are counted from the line's start, the others from its end,
+so the k-th from its side moves by k places at most, whatever the lengths. Each line's segments are index
+rows, its substrings at the other places they can move to are probe rows; equal hashes of (length class,
+number, substring) make candidates. Places for a line are (edits + 1)**2 / 2 about, a fixed number a code point.
 Candidates are verified by a banded bit-parallel automaton. Lines linked directly or through others form a
 class; of a class the first line, by document and place, stays and every other goes.
 """
@@ -11,6 +14,7 @@ class; of a class the first line, by document and place, stays and every other g
 from __future__ import annotations
 
 import hashlib
+import math
 import os.path
 from collections.abc import Iterator
 
@@ -20,9 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, lists, merged, mix, prefix_sums, range_hash, stash
+from .common import SPACE_BYTES, chunks, lists, merged, mix, prefix_sums, range_hash, stash
 
 EDITS, MIN_CHARS = 2, 30
+#: Edits grow as the square root of the length over this, so that the rows grow as the text.
+CHARS = 8
 #: Partners that a line names in a group, by round; None: all. Members of a group compared in one task.
 PARTNERS, BLOCK = (4, None), 2048
 #: Lines to verify, or places of lines to remove, that may be broadcast (about 8 bytes each); beyond, documents are shuffled and joined.
@@ -75,68 +81,92 @@ def line_hash(raw: bytes) -> int:
     return (xxhash.xxh64_intdigest(raw, 42) + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-def segment(length: np.ndarray, i: int, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of the i-th segment of lines of such lengths; later segments take the remainder."""
-    q, r = np.divmod(length, edits + 1)
-    shorter = edits + 1 - r  # segments of size q come first
-    return i * q + np.maximum(0, i - shorter), q + (i >= shorter)
+def edits(length: int) -> int:
+    """Edits between near copies of which the shorter one has so many code points."""
+    return max(EDITS, math.isqrt(length // CHARS))
 
 
-def segment_rows(sums: np.ndarray, lo: np.ndarray, size: np.ndarray, edits: int = EDITS) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(key, which lines, probe) of lines at lo with size code points, sums: of the code points.
+def length_classes(longest: int) -> Iterator[tuple[int, int, int]]:
+    """(least length, length of the next class, edits)."""
+    now, k = MIN_CHARS, EDITS + 1
+    while now <= longest:
+        grows = CHARS * k * k
+        # lines of EDITS edits are cut once more, for longer segments
+        after = 3 * MIN_CHARS // 2 if now == MIN_CHARS and grows > 2 * MIN_CHARS else grows
+        yield now, after, edits(now)
+        k += after == grows
+        now = after
 
-    An index row is the probe at its own place, too.
-    """
-
-    def keys(length: np.ndarray, i: int, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return range_hash(sums, at, at + q) ^ mix(length.astype(np.uint64) * np.uint64(16) + np.uint64(i + 1))
 
-    for i in range(edits + 1):
-        p, q = segment(size, i, edits)
-        yield keys(size, i, lo + p, q), np.arange(len(size)), False
-        for less in range(edits + 1):
-            p, q = segment(size - less, i, edits)
-            for at in range(-i + min(0, less), i + less + edits + 1):
-                # places that both ends' remaining edits allow
-                if max(-i, less - (edits - i)) <= at <= min(i, less + (edits - i)) and (less or at):
-                    ok = np.flatnonzero((p + at >= 0) & (p + at + q <= size))
-                    yield keys((size - less)[ok], i, (lo + p + at)[ok], q[ok]), ok, True
+def segment_rows(sums: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, which lines, and whether probes, of lines at lo with size code points, sums: of the code points.
 
-
-def long_lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end in bytes, start and end in code points, and text of each line of MIN_CHARS code points or more."""
+    Lines a few code points longer than a class are probes there, too. An index row is the probe at its
+    own place. The low bits of a key are the class's edits, 15 for more.
+    """
+    found = []
+    for least, after, most in length_classes(int(size.max(initial=0))):
+        who = np.flatnonzero((size >= least) & (size < after + most))
+        if not len(who):
+            continue
+        q, left = least // (most + 1), (most + 2) // 2
+        moves = [(i * q + at, False, i, at) for i in range(left) for at in range(-i, i + 1)]
+        moves += [(at - (i + 1) * q, True, left + i, at) for i in range(most + 1 - left) for at in range(-i, i + 1)]
+        off, back, number, at = (np.array(x) for x in zip(*moves, strict=True))
+        begin = off + np.where(back, size[who, None], 0)
+        row, col = np.nonzero((begin >= 0) & (begin + q <= size[who, None]))
+        begin = begin[row, col] + lo[who[row]]
+        keys = range_hash(sums, begin, begin + q) ^ mix((np.uint64(least) << np.uint64(24)) + number[col].astype(np.uint64))
+        keys = keys & ~np.uint64(15) | np.uint64(min(most, 15))
+        found.append((keys, who[row], (at[col] != 0) | (size[who[row]] >= after)))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def long_lines(data: np.ndarray, bounds: np.ndarray, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end in bytes, start and end in code points, and text of each line of MIN_CHARS code points or more; short: of each with a word."""
     ahead = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=ahead[1:])
     breaks = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate([bounds[:-1], breaks + 1]))
     doc = np.minimum(np.searchsorted(bounds, begin, "right"), len(bounds) - 1)
     stop = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, begin)], bounds[doc])
-    long = np.flatnonzero(ahead[stop] - ahead[begin] >= MIN_CHARS)
+    if short:
+        inked = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(~np.isin(data, SPACE_BYTES), out=inked[1:])
+        long = np.flatnonzero((ahead[stop] - ahead[begin] >= MIN_CHARS) | (inked[stop] > inked[begin]))
+    else:
+        long = np.flatnonzero(ahead[stop] - ahead[begin] >= MIN_CHARS)
     begin, stop = begin[long], stop[long]
     return begin, stop, ahead[begin], ahead[stop], doc[long] - 1
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes and places of each document's long lines."""
-    for rows, data, bounds in chunks(batches, "text"):
-        begin, stop, _, _, doc = long_lines(data, bounds)
-        raw = data.tobytes()
-        own = np.array([line_hash(raw[a:b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], np.int64)
-        breaks = np.flatnonzero(data == 10)
-        place = np.searchsorted(breaks, begin) - np.searchsorted(breaks, bounds[doc])
-        cuts = np.searchsorted(doc, np.arange(rows.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists(pa.array(own), cuts), lists(pa.array(place.astype(np.int32)), cuts)], names=["r", "k", "lines", "places"])
+def _lines(short: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes and places of each document's long lines, or of all with a word."""
+        for rows, data, bounds in chunks(batches, "text"):
+            begin, stop, _, _, doc = long_lines(data, bounds, short)
+            raw = data.tobytes()
+            own = np.array([line_hash(raw[a:b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], np.int64)
+            breaks = np.flatnonzero(data == 10)
+            place = np.searchsorted(breaks, begin) - np.searchsorted(breaks, bounds[doc])
+            cuts = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists(pa.array(own), cuts), lists(pa.array(place.astype(np.int32)), cuts)], names=["r", "k", "lines", "places"])
+
+    return run
 
 
 def parities(cp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """For each range of code points 31 bits: whether the number of characters in a bin is odd.
+    """For each range of code points 24 bits: whether the number of characters in a bin is odd; above them the length modulo 128.
 
-    An edit changes two bins at most, so lines within EDITS differ in 2 * EDITS bits at most.
+    An edit changes two bins at most, so lines within so many differ in twice as many bits at most.
     """
     if not len(lo):
         return np.zeros(0, np.int32)
-    bits = np.append(np.uint32(1) << (cp * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(31), np.uint32(0))
-    return np.bitwise_xor.reduceat(bits, np.stack([lo, hi], axis=1).ravel())[::2].astype(np.int32)
+    bits = np.append(np.uint32(1) << (cp * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(24), np.uint32(0))
+    odd = np.bitwise_xor.reduceat(bits, np.stack([lo, hi], axis=1).ravel())[::2]
+    return (odd | ((hi - lo) & 127).astype(np.uint32) << np.uint32(24)).astype(np.int32)
 
 
 #: Kinds of packed rows: to be grouped, known to be shared, and standing for shared ones.
@@ -149,7 +179,7 @@ def _keys(buckets: int):
 
     Rows whose key two lines of one chunk have need no grouping; two of them stand for all of their
     chunk, so a very common segment sends two rows a chunk to its bucket, and the others go anywhere.
-    The tag has the parities, and the sign bit tells probes from index rows.
+    The tag has the parities and the length, and the sign bit tells probes from index rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +201,10 @@ def _keys(buckets: int):
             lids, lo, hi = np.array(ids, np.int64), lo[at], hi[at]
             cp = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), "<u4")
             sig = parities(cp, lo, hi)
-            found = list(segment_rows(prefix_sums(cp), lo, hi - lo))
-            who = np.concatenate([w for _, w, _ in found])
+            keys, who, probe = segment_rows(prefix_sums(cp), lo, hi - lo)
             rows = np.empty(len(who), _ROW)
-            rows["key"], rows["line"] = np.concatenate([k for k, _, _ in found]).view(np.int64), lids[who]
-            rows["tag"] = sig[who] | np.repeat(np.array([np.iinfo(np.int32).min if p else 0 for _, _, p in found], np.int32), [len(w) for _, w, _ in found])
+            rows["key"], rows["line"] = keys.view(np.int64), lids[who]
+            rows["tag"] = sig[who] | np.where(probe, np.iinfo(np.int32).min, 0).astype(np.int32)
             rows = rows[np.argsort(rows["key"], kind="stable")]
             cut, low, high = _ends(rows)
             size = np.diff(np.append(cut, len(rows)))
@@ -253,11 +282,15 @@ def _candidates(most: int | None):
             line, tag, comp = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("line", "tag", "comp"))
             sig = (tag & np.int32(0x7FFFFFFF)).astype(np.uint32)
             index = np.flatnonzero(tag >= 0)
+            edits = int(held[0].column("key")[0].as_py()) & 15
+            odd, size = sig & np.uint32(0xFFFFFF), (sig >> np.uint32(24)).astype(np.int8)
+            bits, apart = (2 * edits, edits) if edits < 15 else (24, 127)
             out = 0
             # a block of all rows against all index rows
             for a in range(0, len(line), 512):
                 own = slice(a, a + 512)
-                ok = (np.bitwise_count(sig[own, None] ^ sig[None, index]) <= 2 * EDITS) & (comp[own, None] != comp[None, index])
+                longer = (size[own, None] - size[None, index]) & 127
+                ok = (np.bitwise_count(odd[own, None] ^ odd[None, index]) <= bits) & ((longer <= apart) | (longer >= 128 - apart)) & (comp[own, None] != comp[None, index])
                 p, i = np.nonzero(ok)
                 x, y = line[own][p], line[index[i]]
                 if most is not None and len(p):
@@ -299,7 +332,7 @@ def _candidates(most: int | None):
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = [edits_within(x, y) for x, y in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)]
+        ok = [edits_within(x, y, edits(min(len(x), len(y)))) for x, y in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
 
@@ -347,16 +380,17 @@ def line_classes(spark: SparkSession, own: DataFrame, where: DataFrame) -> DataF
 DEDUPED = "n_lines bigint, n_removed bigint, kept_sha256 string, kept string"
 
 
-def dedup_lines(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def dedup_lines(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True, short: bool = False) -> DataFrame:
     """key, n_lines, n_removed, kept_sha256, kept (lines left, joined by line feeds; null without with_text): a row for each row of df.
 
-    Lines are what line feeds separate, white space and case kept; shorter ones than MIN_CHARS always stay.
+    Lines are what line feeds separate, white space and case kept. Of those shorter than MIN_CHARS only
+    exact copies are removed, and that if short; else they always stay. Short lines without a word stay.
     Of each class the line of the least key (null last), then least hash of the text, then least place
     stays. Rows equal in key and text are one document in this. A null text is empty: one empty line.
     """
     kind = df.schema[key].dataType.simpleString()
     own = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.xxhash64("k", "text").alias("r"), "k", "text")
-    where = stash(spark, own.mapInArrow(_lines, f"r bigint, k {kind}, lines array<bigint>, places array<int>"))
+    where = stash(spark, own.mapInArrow(_lines(short), f"r bigint, k {kind}, lines array<bigint>, places array<int>"))
     comps = line_classes(spark, own, where)
     places = where.select("r", "k", F.explode(F.arrays_zip("lines", "places")).alias("x")).select("r", "k", F.col("x.lines").alias("line"), F.col("x.places").alias("place"))
     # lines that occur once and resemble none stay

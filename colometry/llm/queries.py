@@ -64,7 +64,7 @@ def op9_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).drop("kept")
+    return lines.dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False, short=True).drop("kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

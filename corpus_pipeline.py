@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are copies or near copies of an earlier one go; so do documents of which no word is left."""
     own = docs.select(F.struct("doc_id", "lang", "source").alias("_key"), "text")
-    out = lines.dedup_lines(spark, own, key="_key").where(F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    out = lines.dedup_lines(spark, own, key="_key", short=True).where(F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     return out.select("_key.doc_id", F.col("kept").alias("text"), "_key.lang", "_key.source", F.length("kept").cast("bigint").alias("n_chars"))
 
 

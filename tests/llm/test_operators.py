@@ -146,3 +146,30 @@ def test_nets_without_labels(spark):
 def test_windows_cover_texts():
     x, owner = nets.windows(np.arange(1, 601).astype(np.uint8), np.array([0, 0, 300, 600]))
     assert owner.tolist() == [1, 1, 2, 2] and x.shape == (4, nets.WINDOW)
+
+
+def test_short_and_long_lines(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    base = [" ".join(word() for _ in range(n)) for n in (5, 9, 14, 20, 40, 90, 200) for _ in range(6)]
+    texts = []
+    for line in base:
+        texts.append(line)
+        for _ in range(4):
+            x = list(line)
+            for _ in range(rng.randint(1, lines.edits(len(line)) + 2)):
+                k, what = rng.randrange(len(x)), rng.randrange(3)
+                x[k : k + (what != 1)] = [] if what == 0 else ["z"]
+            texts.append("".join(x))
+    texts += ["All rights reserved.", "All rights reserved.", "  ", "  "]
+    comp = list(range(len(texts)))
+    near = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if a.split() and (a == b or min(len(a), len(b)) >= 30 and lines.edits_within(a, b, lines.edits(min(len(a), len(b)))))]
+    for _ in texts:
+        for i, j in near:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark, docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), short=True).collect()}
+    assert got == {i: int(c != i) for i, c in enumerate(comp)}
+    # one word replaced, five edits, in a line of some 270
+    a = " ".join(f"word{i}" for i in range(40))
+    b = a.replace("word7 ", "other ")
+    assert [r.n_removed for r in lines.dedup_lines(spark, docs(spark, [(1, f"{a}\n{b}\nAll.\nAll.\n\n", "a")]), short=True).collect()] == [2]
