@@ -1,6 +1,6 @@
 """Quality rules by weak supervision: rules vote good or bad or abstain, expectation-maximisation
-estimates how they vote on good and on bad documents, and the posterior probability replaces
-all-must-pass filtering. DataFrame functions only.
+estimates how they vote on good and on bad documents, and the posterior probability ranks them. With
+the bounds on the estimates its verdict is that of all-must-pass filtering. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -80,7 +80,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> t
 
     Two latent classes, rules independent within a class, abstaining tells nothing. The bounds say
     which class is which: kinds of junk exclude each other, so without them the likelihood is as happy to
-    call one kind good. patterns are the vote patterns and their numbers of documents: at most 3**len(RULES), whatever the corpus.
+    call one kind good. At these bounds one bad vote outweighs all good ones, so an unreliable rule isn't
+    found (figures in the README). patterns are the vote patterns and their numbers of documents: at most 3**len(RULES), whatever the corpus.
     """
     share, chance = BAD_SHARE, [(0.2, FALSE_ALARMS)] * len(RULES)
     for _ in range(rounds):
