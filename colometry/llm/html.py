@@ -1,8 +1,8 @@
 """Main text of web pages, by removing what a site's pages share.
 
 A single pass over a page's tags keeps a stack of open elements; when a block element closes, the hash of
-its source is its subtree's hash. Spark counts per host on how many different articles a subtree occurs;
-a second pass deletes subtrees that recur, and elements whose tag, role or class says that they aren't
+its source with the host is its subtree's hash. Spark counts on how many different articles of the host a subtree
+occurs, and on how many of them outside of article and main; joined by that hash, a second pass deletes subtrees that recur, and elements whose tag, role or class says that they aren't
 article, and joins what is left of the article (else of main, else of the page) block by block.
 """
 
@@ -17,9 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A subtree is template if it occurs with at least so many different articles of the host, and with such a share of them.
-LEAST_PAGES, LEAST_SHARE = 4, 0.1
+#: A subtree is template if it occurs with so many different articles of the host, mostly apart from their text, or outside the article with so many.
+LEAST_PAGES, LEAST_OUTSIDE = 4, 2
 
+#: Nothing but tags between a block and the start, or the end, of article or main.
+_FIRST = re.compile(r"<(?:article|main)\b[^<>]*>\s*(?:<(?!/)[^<>]*>\s*)*\Z", re.I)
+_LAST = re.compile(r"\s*(?:</[^<>]*>\s*)*?</(?:article|main)\b", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTRS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 
@@ -43,12 +46,12 @@ _NAMES = re.compile(r"[^a-z0-9]+")
 
 
 class Page:
-    """One pass over a page: text blocks, and (hash, place) of block subtrees."""
+    """One pass over a page: text blocks, and of block subtrees the hash, whether in article or main, whether apart from the text there, and whether what tags and class names drop has it."""
 
-    def __init__(self, html: str, recurring: frozenset[int] = frozenset()) -> None:
-        self.html, self.recurring = html, recurring
+    def __init__(self, html: str, recurring: frozenset[int] = frozenset(), host: str = "") -> None:
+        self.html, self.recurring, self.host = html, recurring, host.encode("utf-8", "surrogatepass") + b"\0"
         self.out: list[str] = []
-        self.found: list[int] = []
+        self.found: list[tuple[int, bool, bool, bool]] = []
         self.articles: list[list[str]] = []
         self.mains: list[list[str]] = []
         self.longest = ""
@@ -148,11 +151,14 @@ class Page:
         if name in BLOCK:
             self.out.append("\n")
             if name not in _KEPT_WHOLE and name != "head":
-                own = xxhash.xxh3_64_intdigest(self.html[begin:at].strip().encode("utf-8", "surrogatepass")) - (1 << 63)
+                own = xxhash.xxh3_64_intdigest(self.host + self.html[begin:at].strip().encode("utf-8", "surrogatepass")) - (1 << 63)
                 if self.recurring:
                     dropped |= own in self.recurring
                 else:
-                    self.found.append(own)
+                    within = bool(self.depth["article"] or self.depth["main"])
+                    # first or last, or no text outside of links
+                    apart = not within or bool(_LAST.match(self.html, at) or _FIRST.search(self.html, max(0, begin - 400), begin) or _linked(self.html[begin:at]))
+                    self.found.append((own, within, apart, dropped or any(f[3] for f in self.stack)))
         if saved is not None and not dropped:
             self.out[first:] = saved if self.depth["article"] or self.depth["main"] else []
             self.out.append("\n")
@@ -177,6 +183,11 @@ class Page:
         return ""
 
 
+def _linked(source: str) -> bool:
+    """Whether all its text is that of links."""
+    return "<a" in source and not re.sub(r"<[^>]*>", "", re.sub(r"<a\b.*?</a>", "", source, flags=re.S | re.I)).strip()
+
+
 def _joined(pieces: list[str]) -> str:
     """Block bounds are pieces of their own; line feeds inside texts are white space."""
     return "".join(p if p == "\n" else p.replace("\n", " ") for p in pieces)
@@ -187,31 +198,37 @@ def host_of(url: str):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def site_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, template): for each host the hashes of the subtrees that recur.
+def page_templates(pages: DataFrame) -> DataFrame:
+    """(page, template): for each page (page, host, html) with any the hashes of its subtrees that recur on its host and aren't dropped anyway.
 
     Occurrences count once for each different longest text outside of what tags drop, so that copies of
-    one article don't make its paragraphs template. A host's array has at most its subtrees a page over
-    LEAST_SHARE entries, whatever the number of its pages.
+    one article don't make its paragraphs template. On a page without article and main
+    nothing is outside of them, and all is apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, marks, hashes = [], [], []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = Page(source or "")
+            out: list[list] = [[], [], [], [], [], []]
+            for key, host, source in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                page = Page(source or "", host=host)
                 mark = xxhash.xxh3_64_intdigest(page.longest.encode("utf-8", "surrogatepass")) - (1 << 63)
-                own = [*dict.fromkeys(page.found), None]  # None counts the page
-                hosts += [host] * len(own)
-                marks += [mark] * len(own)
-                hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(marks, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "mark", "subtree"])
-
-    seen = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, mark bigint, subtree bigint").distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    total = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    often = counts.where(f"subtree is not null and n >= {LEAST_PAGES}").join(total, "host").where(f"n >= {LEAST_SHARE} * pages")
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+                bare = not (page.articles or page.mains)
+                outside: dict[int, bool] = {}
+                beside: dict[int, bool] = {}
+                live: dict[int, bool] = {}
+                for own, within, apart, dropped in page.found:
+                    live[own] = live.get(own, False) or not dropped
+                    outside[own] = outside.get(own, False) or not (within or bare)
+                    beside[own] = beside.get(own, False) or apart
+                for column, values in zip(out, ([key] * len(outside), [mark] * len(outside), outside, outside.values(), beside.values(), (live[x] for x in outside)), strict=True):
+                    column += values
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.bool_()) for x in out[3:])], names=["page", "mark", "subtree", "outside", "apart", "live"])
+
+    # read twice: parsing again costs less than the disk of keeping it
+    seen = pages.mapInArrow(run, "page bigint, mark bigint, subtree bigint, outside boolean, apart boolean, live boolean")
+    counts = seen.groupBy("subtree", "mark").agg(*[F.max(c).cast("int").alias(c) for c in ("outside", "apart")]).groupBy("subtree").agg(F.count("*").alias("n"), F.sum("outside").alias("out"), F.sum("apart").alias("apart"))
+    often = counts.where(f"n >= {LEAST_PAGES} and 2 * apart >= n or out >= {LEAST_OUTSIDE}").select("subtree")
+    return seen.where("live").select("page", "subtree").join(often, "subtree").groupBy("page").agg(F.collect_set("subtree").alias("template"))
 
 
 def extract_main(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -225,9 +242,9 @@ def extract_main(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = frozenset([0])  # so that hashes aren't gathered
         for batch in batches:
-            texts = [Page(source or "", frozenset(known) if known else none).main() for source, known in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [Page(source or "", frozenset(known) if known else none, host).main() for source, known, host in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, "url", "text", "n_chars"])
 
-    own = pages.select(F.col(key), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
-    joined = own.join(site_templates(pages, url, html), "host", "left").select(key, "url", "html", "template")
+    own = pages.select(F.col(key), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host")).withColumn("page", F.xxhash64("host", "html"))
+    joined = own.drop("host").join(page_templates(own.select("page", "host", "html")), "page", "left").select(key, "url", "html", host_of("url").alias("host"), "template")
     return joined.mapInArrow(run, f"`{key}` {kind}, url string, text string, n_chars bigint")

@@ -173,3 +173,16 @@ def test_short_and_long_lines(spark):
     a = " ".join(f"word{i}" for i in range(40))
     b = a.replace("word7 ", "other ")
     assert [r.n_removed for r in lines.dedup_lines(spark, docs(spark, [(1, f"{a}\n{b}\nAll.\nAll.\n\n", "a")]), short=True).collect()] == [2]
+
+
+def _texts(spark, pages):
+    return {r.page_id: r.text for r in html.extract_main(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_html_templates_of_large_and_small_hosts(spark):
+    box = "<div>Ask our staff</div>"
+    # on 4 of 60 pages of a host; on 2 pages of another, in one's article and outside of both
+    large = [(i, f"http://h/{i}", f"<body><p>text number {i} of all these texts</p>{box if i < 4 else ''}</body>") for i in range(60)]
+    small = [(100 + i, f"http://s/{i}", f"<body>{box}<article><p>text number {i} of all these texts</p>{box if i else ''}</article></body>") for i in range(2)]
+    got = _texts(spark, large + small)
+    assert [got[i] for i in (0, 3, 59, 100, 101)] == [f"text number {i} of all these texts" for i in (0, 3, 59, 0, 1)]
