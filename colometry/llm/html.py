@@ -54,7 +54,6 @@ class Page:
         self.found: list[tuple[int, bool, bool, bool]] = []
         self.articles: list[list[str]] = []
         self.mains: list[list[str]] = []
-        self.longest = ""
         # name, start in the source, start in out, dropped, articles and mains before, saved headings or None
         self.stack: list[tuple] = []
         self.depth = {"article": 0, "main": 0}
@@ -94,8 +93,6 @@ class Page:
         if self.stack and self.stack[-1][0] in RAW:
             return
         self.out.append(unescape(raw) if "&" in raw else raw)
-        if len(raw) > len(self.longest) and not any(f[3] for f in self.stack):
-            self.longest = raw
 
     def imply(self, name: str, at: int) -> None:
         """Closes an open p, or the open peers, that this start tag ends."""
@@ -201,8 +198,8 @@ def host_of(url: str):
 def page_templates(pages: DataFrame) -> DataFrame:
     """(page, template): for each page (page, host, html) with any the hashes of its subtrees that recur on its host and aren't dropped anyway.
 
-    Occurrences count once for each different longest text outside of what tags drop, so that copies of
-    one article don't make its paragraphs template. On a page without article and main
+    Occurrences count once for each different text that tags and class names leave of a page, so that
+    copies of one article don't make its paragraphs template, and a long block doesn't make pages one. On a page without article and main
     nothing is outside of them, and all is apart.
     """
 
@@ -211,7 +208,7 @@ def page_templates(pages: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], [], [], []]
             for key, host, source in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 page = Page(source or "", host=host)
-                mark = xxhash.xxh3_64_intdigest(page.longest.encode("utf-8", "surrogatepass")) - (1 << 63)
+                mark = xxhash.xxh3_64_intdigest(page.main().encode("utf-8", "surrogatepass")) - (1 << 63)
                 bare = not (page.articles or page.mains)
                 outside: dict[int, bool] = {}
                 beside: dict[int, bool] = {}

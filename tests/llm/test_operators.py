@@ -186,3 +186,13 @@ def test_html_templates_of_large_and_small_hosts(spark):
     small = [(100 + i, f"http://s/{i}", f"<body>{box}<article><p>text number {i} of all these texts</p>{box if i else ''}</article></body>") for i in range(2)]
     got = _texts(spark, large + small)
     assert [got[i] for i in (0, 3, 59, 100, 101)] == [f"text number {i} of all these texts" for i in (0, 3, 59, 0, 1)]
+
+
+def test_html_long_block_and_article_paragraphs(spark):
+    box = "<div>" + "All the conditions of use of this site, longer than any of its texts. " * 3 + "</div>"
+    pages = [(i, f"http://h/{i}", f"<body><p>text number {i}</p>{box}</body>") for i in range(5)]
+    # a paragraph amid several articles stays, copies of one article keep all
+    pages += [(10 + i, f"http://s/{i}", f"<body><article><p>start {i}</p><p>A saying.</p><p>end {i}</p></article></body>") for i in range(6)]
+    pages += [(20 + i, f"http://c/{i}", "<body><article><p>one</p><p>two</p></article></body>") for i in range(6)]
+    got = _texts(spark, pages)
+    assert got[3] == "text number 3" and got[12] == "start 2\nA saying.\nend 2" and got[22] == "one\ntwo"
