@@ -363,8 +363,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     return net
 
 
-def score_toxicity(spark: SparkSession, df: DataFrame, net: WordNet | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score, predicted (score >= 0.3). Null and empty texts have the score of no words, near 0;
+def score_toxicity(spark: SparkSession, df: DataFrame, net: WordNet | None, key: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
+    """key, score, predicted (score >= 0.3); with lang, a column, also predicted_lang, by the threshold of
+    the row's language (0.3 for one without). Null and empty texts have the score of no words, near 0;
     without a net (a label missing) every score is 0."""
     sent, kind = spark.sparkContext.broadcast(net), df.schema[key].dataType.simpleString()
 
@@ -372,6 +373,13 @@ def score_toxicity(spark: SparkSession, df: DataFrame, net: WordNet | None, key:
         net = sent.value
         for rows, data, bounds in chunks(batches, text, 1 << 20):
             s = np.zeros(rows.num_rows) if net is None else net.scores(*features(data, bounds))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[key, "score", "predicted"])
-
+            out = [rows.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))]
+            if lang is not None:
+                own = {} if net is None else net.thresholds
+                least = np.array([own.get(x, THRESHOLD) for x in rows.column("l").to_pylist()], dtype=float)
+                out.append(pa.array((s >= least).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(out, names=[key, "score", "predicted", "predicted_lang"][: len(out)])
+
+    if lang is not None:
+        return df.select(key, text, F.col(lang).alias("l")).mapInArrow(run, f"`{key}` {kind}, score double, predicted int, predicted_lang int")
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double, predicted int")

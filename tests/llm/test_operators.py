@@ -196,3 +196,12 @@ def test_html_long_block_and_article_paragraphs(spark):
     pages += [(20 + i, f"http://c/{i}", "<body><article><p>one</p><p>two</p></article></body>") for i in range(6)]
     got = _texts(spark, pages)
     assert got[3] == "text number 3" and got[12] == "start 2\nA saying.\nend 2" and got[22] == "one\ntwo"
+
+
+def test_toxicity_thresholds_by_language(spark):
+    df = spark.createDataFrame([(1, "a b", "en"), (2, "a b", "de"), (3, "a b", None)], "doc_id long, text string, lang string")
+    net = nets.WordNet()
+    net.thresholds = {"en": 2.0, "de": -1.0}
+    got = {r.doc_id: r for r in nets.score_toxicity(spark, df, net, lang="lang").collect()}
+    assert (got[1].predicted_lang, got[2].predicted_lang) == (0, 1) and got[3].predicted_lang == got[3].predicted
+    assert nets.score_toxicity(spark, df, net).columns == ["doc_id", "score", "predicted"]
