@@ -52,7 +52,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 WINDOW = 256
 BYTE_WIDTHS, BYTE_FILTERS, BYTE_DIM = (2, 3, 4), 12, 8
 #: Labelled documents taken to fit, per language, and languages at most; each gives up to SAMPLE_CHARS characters.
-LANG_SAMPLE, LANG_LIMIT, SAMPLE_CHARS = 400, 200, 1500
+LANG_SAMPLE, SAMPLE_CHARS = 400, 1500
 
 
 def windows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +150,7 @@ def train_language(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     """Fits on rows whose fold isn't 2 and whose lang isn't null: about sample rows of each language (all
     of a rarer one), picked by a hash of the id; None if there is no such row."""
     usable = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.coalesce(fold32("k"), F.lit(0)) != 2).where("l is not null and t rlike '\\\\p{L}'")
-    counts = {r.l: r.n for r in usable.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANG_LIMIT).collect()}
+    counts = {r.l: r.n for r in usable.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, sample / n))])
@@ -164,7 +164,7 @@ def train_language(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     for r in found:
         raw = np.frombuffer(r.t.encode(), np.uint8)
         x, _ = windows(raw, np.array([0, len(raw)]))
-        xs.append(x[:3])
+        xs.append(x)
         ys += [labels.index(r.l)] * len(xs[-1])
     if not ys:
         return None

@@ -205,3 +205,11 @@ def test_toxicity_thresholds_by_language(spark):
     got = {r.doc_id: r for r in nets.score_toxicity(spark, df, net, lang="lang").collect()}
     assert (got[1].predicted_lang, got[2].predicted_lang) == (0, 1) and got[3].predicted_lang == got[3].predicted
     assert nets.score_toxicity(spark, df, net).columns == ["doc_id", "score", "predicted"]
+
+
+def test_all_languages_are_learnt(spark, monkeypatch):
+    shown = []
+    monkeypatch.setattr(nets.ByteNet, "fit", lambda self, x, y: shown.append((x, y)) or self)
+    df = spark.createDataFrame([(i, "abc de " * 200, f"l{i}") for i in range(300)], "doc_id long, text string, lang string")
+    net = nets.train_language(df)
+    assert len(net.labels) > 200 and len(shown[0][0]) == len(net.labels) * -(-1400 // nets.WINDOW)
