@@ -13,9 +13,10 @@ Conventions that hold for every operator here, unless its docstring says otherwi
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes.
 CHUNK_BYTES = 4 << 20
+#: Hashes that a worker remembers so as not to send a thing twice (some 70 bytes each); forgetting costs rows, not results.
+KNOWN = 200_000
 #: A word is a maximal run of other characters than these six.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: The same as a Java and RE2 pattern.
@@ -65,6 +68,28 @@ def stash(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose worker gives memory back to the system after each task: workers outlive tasks, and
+    what idle ones hold is lacking elsewhere in the executor."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            settle()
+
+    return df.mapInArrow(task, schema)
+
+
+def settle() -> None:
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 # ---------------------------------------------------------------- flat text
 
 

@@ -8,12 +8,16 @@ group. A group's members are the leaves of a signature tree, whose nodes hold OR
 size ranges; a dual traversal drops node pairs whose largest possible overlap is too small. What is left is
 verified on the whole sets.
 
-Links that would join what is joined already need no check, so rounds go from few candidates to all. Each
-component names its best partners of other components in a group. The first round takes few tokens, which
-joins most copies that grow with the corpus; the second takes all prefix tokens, but only of groups that
-still hold two components, and one partner each, so a group of m members makes m pairs at most. Groups in
-which pairs were left out, and only these, come again, components contracted, with more partners, until none
-is. The components are those of all links.
+Two sets can only be similar if sizes and the places of their first common token in the order allow it: a
+member at place p of n meets others of size up to ((10 + T)(n - p) - T n) / T, T tenths being the bound, and the other way round.
+
+Links that would join what is joined already need no check, so there are three rounds. The first takes few
+tokens, which joins most copies; the second all prefix tokens, but only of groups that still hold two
+components. In both each component names its best partners of other components in a group, so a group of m
+members makes m pairs or few times that, which are verified on the texts. Groups in which pairs were left out
+come again in the third, which sends the members' whole sets there, compares every pair that the tree
+leaves of different components, and returns the links of a spanning forest, again m at most. No
+pair is left out there, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -25,16 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, lists, lowered, merged, mix, prefix_sums, range_hash, signed, spans, stash, word_hashes
+from .common import KNOWN, chunks, gram_hashes, lists, lowered, mapped, merged, mix, prefix_sums, range_hash, signed, spans, stash, word_hashes
 
 GRAM, TENTHS = 5, 8
 #: Tokens in the list of frequent ones, and occurrences in one buffer of TOKEN_BUFFER tokens that make a candidate for it.
 FREQUENT, OFTEN, TOKEN_BUFFER = 1 << 16, 8, 1 << 21
-#: Tokens used in the first round; partners that a component names in a group, by round; None: all.
-FIRST_TOKENS, PARTNERS = 4, (2, 1, 8, 64, None)
-#: Members of a group that are compared in one task; larger groups are compared by pairs of blocks.
-BLOCK = 2048
+#: Tokens used in the first round; partners that a component names in a group of the first and of the second round.
+FIRST_TOKENS, PARTNERS = 4, (2, 1)
+#: Members of a group that are compared in one task, and tokens of their sets in the third round; larger groups are compared by pairs of blocks.
+BLOCK, BLOCK_TOKENS = 2048, 1 << 19
 LEAF = 16
+#: Pairs that a tree gives at once.
+STEP = 1 << 17
 #: Keys of documents to verify that may be broadcast (8 bytes each); beyond, the texts are shuffled and joined.
 BROADCAST = 2_000_000
 
@@ -102,8 +108,8 @@ class Tree:
         most = np.minimum(np.minimum(*hi), shared + np.minimum(*slack))
         return (10 + TENTHS) * most >= TENTHS * (lo[0] + lo[1])
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(i, j, shared bits) with i < j of all members that may be similar."""
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, shared bits) with i < j of all members that may be similar, about STEP at once."""
         a = b = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             maps, lo, hi, slack = self.levels[depth]
@@ -115,7 +121,7 @@ class Tree:
                 a, b = (np.concatenate(x) for x in zip(*((2 * a + s, 2 * b + t) for s in (0, 1) for t in (0, 1)), strict=True))
                 ok = (a <= b) & (a < below) & (b < below)
                 a, b = a[ok], b[ok]
-        out = []
+        held, size = [], 0
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
             x, y = slice(i * LEAF, (i + 1) * LEAF), slice(j * LEAF, (j + 1) * LEAF)
             shared = np.bitwise_count(self.maps[x][:, None] & self.maps[y][None]).sum(axis=2, dtype=np.int64)
@@ -124,15 +130,19 @@ class Tree:
             if i == j:
                 ok &= np.tri(*ok.shape, k=-1, dtype=bool).T
             p, q = np.nonzero(ok)
-            out.append((p + i * LEAF, q + j * LEAF, shared[p, q]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-
-
-def similar(maps: list[bytes], n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, score) of members of one group that may be similar. Bitmaps of one width meet in one tree;
-    those of neighbouring widths too, the wider ones folded."""
+            held.append((p + i * LEAF, q + j * LEAF, shared[p, q]))
+            size += len(p)
+            if size > STEP:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+        if size:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def similar(maps: list[bytes], n: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, score) of members of one group that may be similar, about STEP pairs at once. Bitmaps of one
+    width meet in one tree; those of neighbouring widths too, the wider ones folded."""
     wide = np.array([len(x) for x in maps])
-    out = []
     for w in np.unique(wide):
         for other in (w, w // 2):
             at = np.flatnonzero((wide == w) | (wide == other))
@@ -143,23 +153,20 @@ def similar(maps: list[bytes], n: np.ndarray, first: np.ndarray) -> tuple[np.nda
             for k in at:
                 x = np.frombuffer(maps[k], np.uint64)
                 rows.append(x if wide[k] == other else x[: len(x) // 2] | x[len(x) // 2 :])
-            i, j, shared = Tree(np.stack(rows), n[at]).pairs()
-            i, j = at[i], at[j]
-            if other != w:
-                cross = wide[i] != wide[j]
-                i, j, shared = i[cross], j[cross], shared[cross]
-            out.append((i, j, shared / (n[i] + n[j] - np.minimum(shared, np.minimum(n[i], n[j])))))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+            for i, j, shared in Tree(np.stack(rows), n[at]).pairs():
+                i, j = at[i], at[j]
+                if other != w:
+                    cross = wide[i] != wide[j]
+                    i, j, shared = i[cross], j[cross], shared[cross]
+                yield i, j, shared / (n[i] + n[j] - np.minimum(shared, np.minimum(n[i], n[j])))
 
 
-def partners(i: np.ndarray, j: np.ndarray, score: np.ndarray, most: int | None) -> np.ndarray:
+def partners(i: np.ndarray, j: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
     """Of the pairs those among the best `most` of either member."""
-    if most is None or not len(i):
-        return np.ones(len(i), dtype=bool)
     who, other, pair = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(np.arange(len(i)), 2)
     order = np.lexsort((other, -score[pair], who))
     who, pair = who[order], pair[order]
-    begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+    begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
     rank = np.arange(len(who)) - np.repeat(begin, np.diff(np.append(begin, len(who))))
     keep = np.zeros(len(i), dtype=bool)
     keep[pair[rank < most]] = True
@@ -186,21 +193,24 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]
         yield held
 
 
-def _candidates(most: int | None):
+def _candidates(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray]] = []
         left: list[int] = []
         size = 0
         for group in _groups(batches):
             own = pa.Table.from_batches(group)
-            c, n, comp, first = (own.column(x).to_numpy() for x in ("c", "n", "comp", "first"))
-            i, j, score = similar(own.column("map").to_pylist(), n, first)
-            apart = comp[i] != comp[j]
-            i, j, score = i[apart], j[apart], score[apart]
-            keep = partners(comp[i], comp[j], score, most)
-            if not keep.all():
+            c, n, top, comp, first = (own.column(x).to_numpy() for x in ("c", "n", "top", "comp", "first"))
+            i = j = np.zeros(0, np.int64)
+            score, all_kept = np.zeros(0), True
+            for p, q, value in similar(own.column("map").to_pylist(), n, first):
+                apart = (comp[p] != comp[q]) & (n[p] <= top[q]) & (n[q] <= top[p])
+                i, j, score = np.concatenate([i, p[apart]]), np.concatenate([j, q[apart]]), np.concatenate([score, value[apart]])
+                keep = partners(comp[i], comp[j], score, most)
+                all_kept &= bool(keep.all())
+                i, j, score = i[keep], j[keep], score[keep]
+            if not all_kept:
                 left.append(int(group[0].column(0)[0].as_py()))
-            i, j = i[keep], j[keep]
             if len(i):
                 out.append((np.minimum(c[i], c[j]), np.maximum(c[i], c[j])))
                 size += len(i)
@@ -212,6 +222,48 @@ def _candidates(most: int | None):
     return run
 
 
+def forest(tokens: np.ndarray, bounds: np.ndarray, comp: np.ndarray, top: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that join all members of a group that are linked, apart from those that comp joins already.
+
+    tokens: the members' whole sets end to end. Pairs that the tree leaves are compared exactly, a member
+    against all others of different components at once.
+    """
+    n = np.diff(bounds)
+    _, ids = np.unique(tokens, return_inverse=True)
+    at, label, found = np.zeros(int(ids.max(initial=-1)) + 1, bool), comp.copy(), []
+    first = np.minimum.reduceat(tokens, bounds[:-1]).view(np.int64)
+    for i, j, _ in similar([bitmap(tokens[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], n, first):
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        heads = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else []
+        for a, b in zip(heads, [*heads[1:], len(i)], strict=True):
+            own, others = i[a], j[a:b]
+            others = others[(label[others] != label[own]) & (n[own] <= top[others]) & (n[others] <= top[own])]
+            if not len(others):
+                continue
+            at[ids[bounds[own] : bounds[own + 1]]] = True
+            ends = np.cumsum(n[others])
+            places = np.arange(ends[-1]) + np.repeat(bounds[others] - ends + n[others], n[others])
+            both = np.add.reduceat(at[ids[places]].astype(np.int64), ends - n[others])
+            at[ids[bounds[own] : bounds[own + 1]]] = False
+            for other in others[10 * both >= TENTHS * (n[own] + n[others] - both)].tolist():
+                if label[other] != label[own]:
+                    found.append((int(own), other))
+                    label[label == label[other]] = label[own]
+    return found
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in _groups(batches):
+        own = pa.Table.from_batches(group)
+        c, comp, top = (own.column(x).to_numpy() for x in ("c", "comp", "top"))
+        sets = own.column("s").combine_chunks()
+        bounds = sets.offsets.to_numpy().astype(np.int64)
+        tokens = sets.values.to_numpy().view(np.uint64)[bounds[0] : bounds[-1]]
+        links = np.array(forest(tokens, bounds - bounds[0], comp, top), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(c[links[:, 0]]), pa.array(c[links[:, 1]])], names=["a", "b"])
+
+
 def _pairs(out: list[tuple[np.ndarray, np.ndarray]], left: list[int]) -> pa.RecordBatch:
     """Rows of pairs (token null), then of tokens in whose groups pairs were left out (a and b null)."""
     a = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in out)])
@@ -263,7 +315,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
             t, k = frequent()
             yield batch(pa.nulls(len(t), kind_), t, k, True)
 
-    seen = stash(spark, own.mapInArrow(describe, f"k {kind}, c bigint, n bigint, token boolean"))
+    seen = stash(spark, mapped(own, describe, f"k {kind}, c bigint, n bigint, token boolean"))
     docs = seen.where("not token").select("k", "c", "n")
     often = seen.where("token").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(FREQUENT).collect()
     listed = np.array([r.c for r in often][::-1], np.int64).view(np.uint64)  # rarest first
@@ -279,7 +331,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
                 c = fingerprint(tokens) if len(tokens) else None
                 if c is None or c in known:
                     continue
-                if len(known) > 500_000:
+                if len(known) > KNOWN:
                     known.clear()
                 known.add(c)
                 if len(tokens_of):
@@ -296,42 +348,23 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), lists(signed(np.concatenate([np.zeros(0, np.uint64), *firsts])), sizes), pa.array(maps, pa.binary())], names=["c", "n", "tokens", "map"])
 
-    feats = stash(spark, own.mapInArrow(features, "c bigint, n bigint, tokens array<bigint>, map binary").dropDuplicates(["c"]))
-    comps = open_ = None
-    checked: list[DataFrame] = []
+    feats = stash(spark, mapped(own, features, "c bigint, n bigint, tokens array<bigint>, map binary").dropDuplicates(["c"]))
+    rows = feats.select("c", F.col("n").cast("int").alias("n"), "tokens")
+    comps, checked = None, None
     for k, most in enumerate(PARTNERS):
-        # joined before tokens are listed; null stands for a class that is its own component
-        at = feats.select("c", "n", "tokens").withColumn("comp", F.lit(None).cast("bigint")) if comps is None else feats.select("c", "n", "tokens").join(comps, "c", "left")
-        tokens = at.select("c", F.col("n").cast("int").alias("n"), F.nullif(F.col("comp"), F.col("c")).alias("moved"), F.explode(F.slice("tokens", 1, FIRST_TOKENS) if k == 0 else F.col("tokens")).alias("token"))
-        if k > 1:
-            # other groups have been compared to the end
-            tokens = tokens.join(open_, "token", "left_semi")
-        w = Window.partitionBy("token")
-        mixed = tokens.repartition("token").select("token", "c", "n", F.coalesce("moved", "c").alias("comp")).select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"), F.count("*").over(w).alias("size"), F.lag("n").over(w.orderBy("n")).alias("under"), F.lead("n").over(w.orderBy("n")).alias("over"))
-        # a member stays if the one next to it by size is near enough for any similarity
-        mixed = mixed.where(f"lo < hi and (10 * under >= {TENTHS} * n or {TENTHS} * over <= 10 * n)")
-        # larger groups are cut into blocks, each pair of which is a group: (x, y) numbers it
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        x = F.pmod(F.xxhash64("c", F.lit(k)), blocks)
-        mixed = mixed.select("token", "c", "comp", blocks.alias("m"), x.cast("int").alias("x")).select("token", "c", "comp", "m", "x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"))
-        part = F.least("x", "y") * F.col("m") + F.greatest("x", "y")
-        grouped = mixed.select("token", part.cast("bigint").alias("part"), "c", "comp").join(feats.select("c", "n", F.element_at("tokens", 1).alias("first"), "map"), "c")
-        grouped = grouped.select("token", "part", "c", "n", "comp", "first", "map")
-        dealt = grouped.repartition("token", "part").sortWithinPartitions("token", "part")
-        found = stash(spark, dealt.mapInArrow(_candidates(most), "a bigint, b bigint, token bigint"))
+        grouped = _mixed(rows, comps, FIRST_TOKENS if k == 0 else None).join(feats.select("c", F.element_at("tokens", 1).alias("first"), "map"), "c")
+        dealt = grouped.select("token", "part", "c", "n", "top", "comp", "first", "map").repartition("token", "part").sortWithinPartitions("token", "part")
+        found = stash(spark, mapped(dealt, _candidates(most), "a bigint, b bigint, token bigint"))
         pairs = found.where("token is null").select("a", "b").distinct()
-        for old in checked:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = stash(spark, pairs)
-        checked.append(pairs)
-        links = stash(spark, _verified(spark, own, docs, pairs))
-        comps = merged(spark, comps, links)
-        if k:
-            open_ = found.where("token is not null").select("token").distinct()
-            open_size = open_.count()
-            if not open_size:
-                break
-            open_ = F.broadcast(open_) if open_size <= BROADCAST else open_
+        pairs = stash(spark, pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
+        checked = pairs
+        comps = merged(spark, comps, _verified(spark, own, docs, pairs))
+    open_ = stash(spark, found.where("token is not null").select("token").distinct())
+    if not open_.isEmpty():
+        left = stash(spark, _mixed(rows, comps, None, open_))
+        sets = _sets(spark, own, docs, left.select("c").distinct())
+        dealt = left.join(sets, "c").select("token", "part", "c", "top", "comp", "s").repartition("token", "part").sortWithinPartitions("token", "part")
+        comps = merged(spark, comps, stash(spark, mapped(dealt, _exact, "a bigint, b bigint").distinct()))
     classes = docs.where("c is not null").groupBy("c").agg(F.min("k").alias("low"))
     if comps is not None:
         classes = classes.join(comps, "c", "left").select("c", "low", F.coalesce("comp", "c").alias("comp"))
@@ -342,9 +375,37 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
     return docs.join(named, "c", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("k")).otherwise(F.col("component")).alias("component_id"), F.col("c").alias("class_id"))
 
 
-def _verified(spark: SparkSession, own: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar enough."""
-    wanted = stash(spark, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(docs, "c").groupBy("c").agg(F.min("k").alias("w")).select("w").distinct())
+def _mixed(rows: DataFrame, comps: DataFrame | None, most: int | None, only: DataFrame | None = None) -> DataFrame:
+    """(token, part, c, n, top, comp) of groups that hold two components: members that another one's size
+    and place allow, the group cut into blocks, each pair of which is a part.
+
+    rows: (c, n, tokens); most: tokens taken; only: (token), the groups wanted, whose blocks then are of
+    BLOCK_TOKENS tokens of whole sets.
+    """
+    # joined before tokens are listed; null stands for a class that is its own component
+    at = rows.withColumn("comp", F.lit(None).cast("bigint")) if comps is None else rows.join(comps, "c", "left")
+    tokens = at.select("c", "n", F.nullif(F.col("comp"), F.col("c")).alias("moved"), F.posexplode(F.slice("tokens", 1, most) if most else F.col("tokens")).alias("pos", "token"))
+    if only is not None:
+        tokens = tokens.join(only, "token", "left_semi")
+    top = F.floor(((10 + TENTHS) * (F.col("n") - F.col("pos")) - TENTHS * F.col("n")) / TENTHS).cast("int")
+    tokens = tokens.select("token", "c", "n", top.alias("top"), F.coalesce("moved", "c").alias("comp")).repartition("token")
+    by = Window.partitionBy("token").orderBy("n")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    over = tokens.select(
+        "*", F.min("comp").over(whole).alias("lo"), F.max("comp").over(whole).alias("hi"), F.count("*").over(whole).alias("size"), F.sum("n").over(whole).alias("all"), F.min("n").over(whole).alias("least"),
+        F.max("top").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.lead("n").over(by).alias("next"), F.lead("top").over(by).alias("next_top"),
+    )
+    mixed = over.where("lo < hi and (least <= top and before >= n or next <= top and (size > 2 or next_top >= n))")
+    blocks = F.ceil(F.col("size") / BLOCK if only is None else F.greatest(F.col("size") / BLOCK, F.col("all") / BLOCK_TOKENS)).cast("int")
+    x = F.pmod(F.xxhash64("c"), blocks).cast("int")
+    cut = mixed.select("token", "c", "n", "top", "comp", blocks.alias("m"), x.alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"))
+    part = F.least("x", "y") * F.col("m") + F.greatest("x", "y")
+    return cut.select("token", part.cast("bigint").alias("part"), "c", "n", "top", "comp")
+
+
+def _sets(spark: SparkSession, own: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, s): the whole sets of classes (c), each from one document that has it."""
+    wanted = stash(spark, classes.join(docs, "c").groupBy("c").agg(F.min("k").alias("w")).select("w").distinct())
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
 
@@ -356,7 +417,12 @@ def _verified(spark: SparkSession, own: DataFrame, docs: DataFrame, pairs: DataF
 
     # one document of each class; keys that aren't unique give more
     few = own.join(wanted, F.col("k").eqNullSafe(F.col("w")), "left_semi")
-    found = stash(spark, few.mapInArrow(sets, "c bigint, s array<bigint>").dropDuplicates(["c"]))
+    return stash(spark, mapped(few, sets, "c bigint, s array<bigint>").dropDuplicates(["c"]))
+
+
+def _verified(spark: SparkSession, own: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose whole sets are similar enough."""
+    found = _sets(spark, own, docs, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
     both = pairs.join(found.select(F.col("c").alias("a"), F.col("s").alias("s")), "a").join(found.select(F.col("c").alias("b"), F.col("s").alias("t")), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("i"), F.size("s").alias("n"), F.size("t").alias("m"))
-    return counted.where(f"10 * i >= {TENTHS} * (n + m - i)").select("a", "b")
+    return stash(spark, counted.where(f"10 * i >= {TENTHS} * (n + m - i)").select("a", "b"))
