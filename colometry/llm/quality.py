@@ -1,12 +1,17 @@
 """Quality rules by weak supervision: rules vote good or bad or abstain, expectation-maximisation
-estimates how they vote on good and on bad documents, and the posterior probability ranks them. With
-the bounds on the estimates its verdict is that of all-must-pass filtering. DataFrame functions only.
+estimates how often each rule votes bad on good documents and on each kind of junk, and the posterior
+probability of a good document decides. DataFrame functions only.
+
+Rules depend on each other: a text of symbols has few words with letters, one that repeats itself has few
+different words, and kinds of junk exclude each other. So bad documents are not one latent class but a mixture of kinds,
+one for each rule at first; within a kind rules are independent. All rates are estimated from the votes alone. A kind is
+believed if at least two rules fire on it far more often than on good documents; a rule that nothing
+corroborates is taken to misfire, and its vote alone rejects nothing.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +21,18 @@ from .common import stash
 RULES: dict[str, tuple[str, str]] = {
     "length": ("n_words < 10", "n_words >= 30"),
     "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    "letters": ("10 * n_wordless > n_words", "50 * n_wordless <= n_words"),
     "capitals": ("2 * n_upper > word_chars", "7 * n_upper <= word_chars"),
     "exclaims": ("4 * n_exclaims > n_words", "20 * n_exclaims <= n_words"),
     "repeats": ("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 10 * n_words"),
     "variety": ("n_words >= 20 and 100 * n_distinct < 25 * n_words", "100 * n_distinct >= 30 * n_words"),
     "word_size": ("word_chars < 2 * n_words or word_chars > 20 * n_words", "word_chars >= 3 * n_words and word_chars <= 12 * n_words"),
     "lines": ("n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines", "100 * n_dup_lines <= 10 * n_lines"),
+    "ends": ("n_words >= 20 and (100 * n_ends < n_words or 3 * n_ends > n_words)", "40 * n_ends >= n_words and 5 * n_ends <= n_words"),
 }
 KEEP_AT = 0.5
-#: What is known of every rule beforehand: it calls a good document bad this rarely at most, and a bad one bad this often at least.
-FALSE_ALARMS, HITS = 0.001, 0.1
-#: Share of bad documents expected beforehand; it weighs as much as the corpus itself.
-BAD_SHARE = 0.1
+#: A rule fires on a kind if it votes bad there at least this often, and so many times as often as on good documents; so many rules make a kind believed.
+FIRES, LIFT, CORROBORATED = 0.2, 5, 2
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -47,6 +52,8 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         F.regexp_count("t", F.lit(r"\p{Lu}")).cast("bigint").alias("n_upper"),
         F.regexp_count("t", F.lit("!")).cast("bigint").alias("n_exclaims"),
+        F.regexp_count("t", F.lit(r"[.!?。？！]")).cast("bigint").alias("n_ends"),
+        F.regexp_count("t", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]++(?![^\x20\x09-\x0D])")).cast("bigint").alias("n_wordless"),
         F.expr(r"filter(split(t, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("ls"),
     )
     hashed = base.select("*", F.expr("transform(w, x -> xxhash64(x))").alias("h")).drop("w")
@@ -64,6 +71,8 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         F.expr(f"cast(coalesce({covered}, 0) as bigint)").alias("n_repeat_words"),
         "n_upper",
         "n_exclaims",
+        "n_ends",
+        "n_wordless",
         F.expr("cast(size(array_distinct(h)) as bigint)").alias("n_distinct"),
         F.expr("cast(size(ls) as bigint)").alias("n_lines"),
     )
@@ -75,57 +84,63 @@ def vote(name: str) -> Column:
     return F.expr(f"case when {bad} then 0 when {good} then 1 else -1 end")
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[tuple[float, float]]]:
-    """Share of bad documents, and for each rule (chance of a bad vote on a bad, on a good document).
+def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of the classes, chances of a bad vote (class x rule, abstentions aside), and which classes are
+    believed to be junk. Class 0 are the good documents, the others kinds of junk.
 
-    Two latent classes, rules independent within a class, abstaining tells nothing. The bounds say
-    which class is which: kinds of junk exclude each other, so without them the likelihood is as happy to
-    call one kind good. At these bounds one bad vote outweighs all good ones, so an unreliable rule isn't
-    found (figures in the README). patterns are the vote patterns and their numbers of documents: at most 3**len(RULES), whatever the corpus.
+    votes: the vote patterns (patterns x rules), at most 3**len(RULES) whatever the corpus; counts: their
+    numbers of documents. Half a vote in favour of either side keeps chances off 0 and 1. A kind to which no
+    document belongs in the end (less than half of one) is not believed either.
     """
-    share, chance = BAD_SHARE, [(0.2, FALSE_ALARMS)] * len(RULES)
+    bad, good = (votes == 0).astype(float), (votes == 1).astype(float)
+    rules = votes.shape[1]
+    share = np.array([0.8] + [0.2 / rules] * rules)
+    chance = np.vstack([np.full(rules, 0.02), np.where(np.eye(rules, dtype=bool), 0.9, 0.1)])
     for _ in range(rounds):
-        sums = [[0.0] * 4 for _ in RULES]
-        bad_total = total = 0.0
-        for votes, n in patterns:
-            z = n * _bad(votes, share, chance)
-            bad_total += z
-            total += n
-            for k, v in enumerate(votes):
-                if v >= 0:
-                    sums[k][0] += z * (v == 0)
-                    sums[k][1] += z
-                    sums[k][2] += (n - z) * (v == 0)
-                    sums[k][3] += n - z
-        share = (bad_total + BAD_SHARE * (total + 1)) / (2 * total + 1)
-        chance = [(min(max((b + 2) / (bn + 10), HITS), 0.95), q) for b, bn, g, gn in sums for q in [min((g + 0.02) / (gn + 10), FALSE_ALARMS)]]
-    return share, chance
-
-
-def _bad(votes: tuple[int, ...], share: float, chance: list[tuple[float, float]]) -> float:
-    odds = math.log(share / (1 - share))
-    for v, (b, g) in zip(votes, chance, strict=True):
-        if v == 0:
-            odds += math.log(b / g)
-        elif v == 1:
-            odds += math.log((1 - b) / (1 - g))
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+        p = posterior(bad, good, share, chance) * counts[:, None]
+        size = p.sum(axis=0)
+        share = (size + 1) / (size.sum() + len(size))
+        chance = (p.T @ bad + 0.5) / (p.T @ (bad + good) + 1)
+    fires = (chance >= FIRES) & (chance >= LIFT * chance[0])
+    junk = (fires.sum(axis=1) >= CORROBORATED) & (size >= 0.5)
+    junk[0] = False
+    return share, chance, junk
+
+
+def posterior(bad: np.ndarray, good: np.ndarray, share: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Patterns x classes."""
+    odds = np.log(share) + bad @ np.log(chance.T) + good @ np.log1p(-chance.T)
+    odds = np.exp(odds - odds.max(axis=1, keepdims=True))
+    return odds / odds.sum(axis=1, keepdims=True)
+
+
+def goodness(names: list[str], share: np.ndarray, chance: np.ndarray, junk: np.ndarray) -> Column:
+    """The posterior probability of no junk, from columns v_<rule>."""
+    logs = []
+    for z in range(len(share)):
+        terms = [F.get(F.array(*[F.lit(float(x)) for x in (0.0, np.log(c), np.log1p(-c))]), F.col(f"v_{k}") + 1) for k, c in zip(names, chance[z], strict=True)]
+        total = F.lit(float(np.log(share[z])))
+        for t in terms:
+            total = total + t
+        logs.append(total)
+    most = F.greatest(*logs)
+    weights = [F.exp(x - most) for x in logs]
+    total = sum(weights[1:], weights[0])
+    return sum((w for w, z in zip(weights, junk, strict=True) if not z), F.lit(0.0)) / total
 
 
 def judge(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept.
 
     quality is the posterior probability of a good document; base_failed overrules it. An empty table
-    gives no rows. A null text has no words, so it fails the base.
+    gives no rows. A null text has no words, so it fails the base. Repeated rows count, and are judged, each; extra
+    columns don't matter, whatever their names.
     """
     measured = stash(spark, measure(docs, key, text))
     names = list(RULES)
     votes = measured.select("*", *[vote(k).alias(f"v_{k}") for k in names])
     seen = votes.groupBy(*[f"v_{k}" for k in names]).agg(F.count("*").alias("n")).collect()  # bounded by 3**len(RULES)
-    share, chance = estimate([(tuple(r[f"v_{k}"] for k in names), r.n) for r in seen])
-    odds = F.lit(math.log(share / (1 - share)))
-    for k, (b, g) in zip(names, chance, strict=True):
-        odds = odds + F.when(F.col(f"v_{k}") == 0, math.log(b / g)).when(F.col(f"v_{k}") == 1, math.log((1 - b) / (1 - g))).otherwise(0.0)
+    share, chance, junk = estimate(np.array([[r[f"v_{k}"] for k in names] for r in seen], int).reshape(-1, len(names)), np.array([r.n for r in seen], float))
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    quality = 1 / (1 + F.exp(odds))
-    return votes.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), quality.alias("quality"), (~failed & (quality >= KEEP_AT)).alias("kept"))
+    judged = votes.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), goodness(names, share, chance, junk).alias("quality"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT))
