@@ -9,6 +9,13 @@ rows, its substrings at the other places they can move to are probe rows; equal
 number, substring) make candidates. Places for a line are (edits + 1)**2 / 2 about, a fixed number a code point.
 Candidates are verified by a banded bit-parallel automaton. Lines linked directly or through others form a
 class; of a class the first line, by document and place, stays and every other goes.
+
+Links that would join what is joined already need no check. A quarter of the keys is enough to join most
+copies: there each component of a group names one partner, so a group of m lines makes m pairs at most.
+Lines that some key then still holds with a possible partner of another component form clusters by these keys.
+A cluster's texts are sent once to each pair of its blocks, where all pairs that lengths and characters
+allow are verified, many at once, unless joined meanwhile; what comes back is a spanning forest, again
+no more than the members.
 """
 
 from __future__ import annotations
@@ -24,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, chunks, lists, merged, mix, prefix_sums, range_hash, stash
+from .common import KNOWN, SPACE_BYTES, chunks, components, lists, mapped, merged, mix, prefix_sums, range_hash, stash
 
 EDITS, MIN_CHARS = 2, 30
 #: Edits grow as the square root of the length over this, so that the rows grow as the text.
 CHARS = 8
-#: Partners that a line names in a group, by round; None: all. Members of a group compared in one task.
-PARTNERS, BLOCK = (4, None), 2048
+#: Of this many keys one is taken in the first round. Members of a group, and of a cluster, that are compared in one task.
+FIRST_KEYS, BLOCK, CLUSTER_BLOCK = 4, 2048, 512
+#: Pairs of lines verified at once, and bins of characters that are counted before.
+PAIRS, BINS = 512, 64
 #: Lines to verify, or places of lines to remove, that may be broadcast (about 8 bytes each); beyond, documents are shuffled and joined.
 BROADCAST = 2_000_000
 #: Bytes of text for each bucket of index and probe rows; a task holds the rows of one bucket.
@@ -76,6 +85,59 @@ def edits_within(x: str, y: str, most: int = EDITS) -> bool:
     return bool(levels[-1] & end)
 
 
+def distances(xs: list[np.ndarray], ys: list[np.ndarray], most: int) -> np.ndarray:
+    """Edit distances of pairs of code point arrays, exact up to most (31 at most), else larger than it.
+
+    Myers' vertical deltas of the band around the diagonal, one machine word a pair, all pairs a column
+    further at once; the band slides down a row with each column, so the deltas shift up by one bit
+    (Hyyrö, 2003). A step along the pair's own diagonal costs 1 unless the diagonal delta is 0.
+    """
+    width, word = (32, np.uint32) if most <= 15 else (64, np.uint64)
+    m, n = (np.array([len(z) for z in zs], np.int64) for zs in (xs, ys))
+    d = m - n
+    out = np.abs(d) + most + 1
+    able = np.flatnonzero(np.abs(d) <= most)
+    able = able[np.argsort(n[able], kind="stable")]
+    one, mask = word(1), word((1 << (2 * most + 1)) - 1)
+    for begin in range(0, len(able), PAIRS):
+        at = able[begin : begin + PAIRS]
+        size = int(n[at].max())
+        # rows beside the line match nothing
+        x = np.full((len(at), most + max(size, int(m[at].max())) + width), 0xFFFFFFFF, np.uint32)
+        y = np.full((len(at), size), 0xFFFFFFFE, np.uint32)
+        for row, k in enumerate(at.tolist()):
+            x[row, most : most + m[k]] = xs[k]
+            y[row, : n[k]] = ys[k]
+        up = np.full(len(at), ((1 << (most + 1)) - 1) << most, np.uint64).astype(word) & mask
+        down = np.zeros(len(at), word)
+        shift, free, long = (most + d[at]).astype(word), np.zeros(len(at), np.int64), n[at]
+        for j in range(size):
+            match = np.packbits(x[:, j : j + width] == y[:, j, None], axis=1, bitorder="little").view(word)[:, 0]
+            diagonal = ((((match & up) + up) ^ up) | match | down) & mask
+            right, left = down | ~(diagonal | up), diagonal & up
+            below = diagonal >> one
+            up, down = left | ~(below | right), below & right
+            free += ((diagonal >> shift) & one).astype(np.int64) * (long > j)
+        out[at] = np.maximum(d[at], 0) + long - free
+    return out
+
+
+def within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Whether the distance of each pair is at most its own bound."""
+    ok = np.zeros(len(most), bool)
+    for low, high in ((0, 7), (8, 15), (16, 31)):
+        own = np.flatnonzero((most >= low) & (most <= high))
+        if len(own):
+            ok[own] = distances([xs[k] for k in own], [ys[k] for k in own], int(most[own].max())) <= most[own]
+    for k in np.flatnonzero(most > 31).tolist():
+        ok[k] = edits_within(*(z.astype("<u4").tobytes().decode("utf-32-le") for z in (xs[k], ys[k])), int(most[k]))
+    return ok
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
 def line_hash(raw: bytes) -> int:
     """As Spark's xxhash64 of the string."""
     return (xxhash.xxh64_intdigest(raw, 42) + (1 << 63)) % (1 << 64) - (1 << 63)
@@ -191,7 +253,7 @@ def _keys(buckets: int):
             for k, (a, b) in enumerate(zip(begin.tolist(), stop.tolist(), strict=True)):
                 own = line_hash(raw[a:b])
                 if own not in known:
-                    if len(known) > 500_000:
+                    if len(known) > KNOWN:
                         known.clear()
                     known.add(own)
                     ids.append(own)
@@ -271,78 +333,133 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _candidates(most: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups come whole: rows sorted by key and part."""
-        held: list[pa.RecordBatch] = []
-        pairs: set[tuple[int, int]] = set()
-        left = 0
-
-        def group() -> int:
-            line, tag, comp = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("line", "tag", "comp"))
-            sig = (tag & np.int32(0x7FFFFFFF)).astype(np.uint32)
-            index = np.flatnonzero(tag >= 0)
-            edits = int(held[0].column("key")[0].as_py()) & 15
-            odd, size = sig & np.uint32(0xFFFFFF), (sig >> np.uint32(24)).astype(np.int8)
-            bits, apart = (2 * edits, edits) if edits < 15 else (24, 127)
-            out = 0
-            # a block of all rows against all index rows
-            for a in range(0, len(line), 512):
-                own = slice(a, a + 512)
-                longer = (size[own, None] - size[None, index]) & 127
-                ok = (np.bitwise_count(odd[own, None] ^ odd[None, index]) <= bits) & ((longer <= apart) | (longer >= 128 - apart)) & (comp[own, None] != comp[None, index])
-                p, i = np.nonzero(ok)
-                x, y = line[own][p], line[index[i]]
-                if most is not None and len(p):
-                    # another order for each row, so that rows don't all name the same few
-                    order = np.lexsort((mix((x * 31 + y).view(np.uint64)), p))
-                    p, x, y = p[order], x[order], y[order]
-                    begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-                    keep = np.arange(len(p)) - np.repeat(begin, np.diff(np.append(begin, len(p)))) < most
-                    out += int((~keep).sum())
-                    x, y = x[keep], y[keep]
-                pairs.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
-            return out
-
-        def flush(left: int = 0) -> pa.RecordBatch:
-            own = sorted(pairs)
-            pairs.clear()
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in own] + [0], pa.int64()), pa.array([b for _, b in own] + [0], pa.int64()), pa.array([0] * len(own) + [left], pa.int64())], names=["a", "b", "left_out"])
-
-        last = None
-        for batch in batches:
-            key, part = batch.column("key").to_numpy(), batch.column("part").to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(key)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b == a:
-                    continue
-                if held and last != (key[a], part[a]):
-                    left += group()
-                    held.clear()
-                    if len(pairs) > 50_000:
-                        yield flush()
-                last = (key[a], part[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            left += group()
-        yield flush(left)
-
-    return run
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Groups of rows equal in key and part, by which they come sorted."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        key, part = batch.column("key").to_numpy(), batch.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b == a:
+                continue
+            if held and last != (key[a], part[a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            last = (key[a], part[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _possible(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, index row, unlikeness) of rows of different components that may be near copies, a block of rows at once."""
+    tag, comp = group.column("tag").to_numpy(), group.column("comp").to_numpy()
+    sig = (tag & np.int32(0x7FFFFFFF)).astype(np.uint32)
+    index = np.flatnonzero(tag >= 0)
+    most = int(group.column("key")[0].as_py()) & 15
+    odd, size = sig & np.uint32(0xFFFFFF), (sig >> np.uint32(24)).astype(np.int16)
+    bits, apart = (2 * most, most) if most < 15 else (24, 127)
+    for a in range(0, len(tag), 512):
+        own = slice(a, a + 512)
+        longer = (size[own, None] - size[None, index]) & 127
+        longer = np.minimum(longer, 128 - longer)
+        unlike = np.bitwise_count(odd[own, None] ^ odd[None, index])
+        p, i = np.nonzero((unlike <= bits) & (longer <= apart) & (comp[own, None] != comp[None, index]))
+        yield p + a, index[i], unlike[p, i] + longer[p, i]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group the most alike partner of each component."""
+    for group in _held(batches):
+        line, comp = group.column("line").to_numpy(), group.column("comp").to_numpy()
+        i = j = worst = np.zeros(0, np.int64)
+        for p, q, unlike in _possible(group):
+            i, j, worst = np.concatenate([i, p]), np.concatenate([j, q]), np.concatenate([worst, unlike])
+            who, other, pair = np.concatenate([comp[i], comp[j]]), np.concatenate([line[j], line[i]]), np.tile(np.arange(len(i)), 2)
+            order = np.lexsort((other, worst[pair], who))
+            best = order[np.flatnonzero(np.concatenate([[True], who[order][1:] != who[order][:-1]]))] if len(who) else order
+            keep = np.unique(pair[best])
+            i, j, worst = i[keep], j[keep], worst[keep]
+        if len(i):
+            both = np.unique(np.sort(np.stack([line[i], line[j]]), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+
+def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, line) of rows with a possible partner of another component in their group."""
+    for group in _held(batches):
+        line = group.column("line").to_numpy()
+        seen = np.zeros(len(line), bool)
+        for p, q, _ in _possible(group):
+            seen[p] = seen[q] = True
+        if seen.any():
+            own = np.unique(line[seen])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), group.column("key")[0].as_py())), pa.array(own)], names=["key", "line"])
+
+
+def forest(texts: list[str], comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that join all lines linked, apart from those that comp joins already."""
+    lines = [points(t) for t in texts]
+    size = np.array([len(x) for x in lines])
+    order = np.argsort(size, kind="stable")
+    bins = np.stack([np.bincount(x % BINS, minlength=BINS) for x in lines]).astype(np.int32)
+    label, found = comp.copy(), []
+    for place, i in enumerate(order.tolist()):
+        # the shorter one's length decides
+        most = edits(int(size[i]))
+        rest = order[place + 1 :]
+        rest = rest[: np.searchsorted(size[rest], size[i] + most, "right")]
+        rest = rest[label[rest] != label[i]]
+        rest = rest[np.abs(bins[rest] - bins[i]).sum(axis=1) <= 2 * most]
+        # the most alike first, fewer at a time, as links spare checks
+        step = 16
+        while len(rest):
+            now, rest = rest[:step], rest[step:]
+            ok = within([lines[i]] * len(now), [lines[k] for k in now], np.full(len(now), most))
+            for j in now[ok].tolist():
+                if label[j] != label[i]:
+                    found.append((i, j))
+                    label[label == label[j]] = label[i]
+            rest, step = rest[label[rest] != label[i]], PAIRS
+    return found
+
+
+def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in _held(batches):
+        line, links = group.column("line").to_numpy(), forest(group.column("words").to_pylist(), group.column("comp").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(line[[i for i, _ in links]]), pa.array(line[[j for _, j in links]])], names=["a", "b"])
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = [edits_within(x, y, edits(min(len(x), len(y)))) for x, y in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+        for at in range(0, batch.num_rows, 4 * PAIRS):
+            rows = batch.slice(at, 4 * PAIRS)
+            xs, ys = ([points(t) for t in rows.column(c).to_pylist()] for c in ("s", "t"))
+            ok = pa.array(within(xs, ys, np.array([edits(min(len(x), len(y))) for x, y in zip(xs, ys, strict=True)])))
+            yield pa.RecordBatch.from_arrays([rows.column("a").filter(ok), rows.column("b").filter(ok)], names=["a", "b"])
+
+
+def _blocks(df: DataFrame, size: int) -> DataFrame:
+    """df (key, n: the key's rows, line, ...) with column part: a larger group is cut into blocks, each pair of blocks a part."""
+    m = F.ceil(F.col("n") / size).cast("int")
+    cut = df.select("*", m.alias("m"), F.pmod(F.xxhash64("line"), m).cast("int").alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"))
+    part = F.least("x", "y") * F.col("m") + F.greatest("x", "y")
+    return cut.withColumn("part", part.cast("bigint")).drop("m", "x", "y", "n")
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    return df.repartition("key", "part").sortWithinPartitions("key", "part")
 
 
 def _texts(spark: SparkSession, own: DataFrame, where: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line, words) of the wanted lines, each from one document that has it."""
+    wanted = stash(spark, wanted)
     few = wanted.count() <= BROADCAST
     wanted = F.broadcast(wanted) if few else wanted
     at = where.select("r", F.explode("lines").alias("line")).join(wanted, "line", "left_semi").groupBy("line").agg(F.min("r").alias("r")).select("r").distinct()
     docs = own.join(F.broadcast(at) if few else at, "r", "left_semi").select(F.explode(F.split("text", "\n")).alias("words"))
-    return docs.where(F.length("words") >= MIN_CHARS).select(F.xxhash64("words").alias("line"), "words").join(wanted, "line", "left_semi").dropDuplicates(["line"])
+    return stash(spark, docs.where(F.length("words") >= MIN_CHARS).select(F.xxhash64("words").alias("line"), "words").join(wanted, "line", "left_semi").dropDuplicates(["line"]))
 
 
 def line_classes(spark: SparkSession, own: DataFrame, where: DataFrame) -> DataFrame | None:
@@ -350,31 +467,36 @@ def line_classes(spark: SparkSession, own: DataFrame, where: DataFrame) -> DataF
 
     own has the documents (r, text), where their long lines (r, lines)."""
     buckets = max(1, (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
-    rows = own.select("text").mapInArrow(_keys(buckets), "bucket bigint, kind int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    rows = mapped(own.select("text"), _keys(buckets), "bucket bigint, kind int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    shared = stash(spark, mapped(rows, _shared, "key bigint, line bigint, tag int").distinct())
     w = Window.partitionBy("key")
-    shared = stash(spark, rows.mapInArrow(_shared, "key bigint, line bigint, tag int").distinct())
-    comps, checked = None, []
-    for most in PARTNERS:
-        now = shared.withColumn("comp", F.col("line")) if comps is None else shared.join(comps, F.col("line") == F.col("c"), "left").select("key", "line", "tag", F.coalesce("comp", "line").alias("comp"))
-        apart = now.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"), F.count("*").over(w).alias("n")).where("lo < hi")
-        # a larger group is cut into blocks, each pair of blocks a part
-        m = F.ceil(F.col("n") / BLOCK).cast("int")
-        cut = apart.select("key", "line", "tag", "comp", m.alias("m"), F.pmod(F.xxhash64("line"), m).cast("int").alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"))
-        part = (F.least("x", "y") * F.col("m") + F.greatest("x", "y")).cast("bigint")
-        dealt = cut.select("key", part.alias("part"), "line", "tag", "comp").repartition("key", "part").sortWithinPartitions("key", "part")
-        found = stash(spark, dealt.mapInArrow(_candidates(most), "a bigint, b bigint, left_out bigint"))
-        pairs = found.where("a <> b").select("a", "b").distinct()
-        for old in checked:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = stash(spark, pairs)
-        checked.append(pairs)
-        wanted = stash(spark, pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
-        texts = stash(spark, _texts(spark, own, where, wanted))
-        both = pairs.join(texts.select(F.col("line").alias("a"), F.col("words").alias("s")), "a").join(texts.select(F.col("line").alias("b"), F.col("words").alias("t")), "b")
-        comps = merged(spark, comps, stash(spark, both.mapInArrow(_check, "a bigint, b bigint")))
-        if not found.agg(F.coalesce(F.sum("left_out"), F.lit(0))).first()[0]:
-            break
-    return comps
+
+    def apart(comps: DataFrame | None, rows: DataFrame) -> DataFrame:
+        """Rows of groups that hold two components, cut into blocks."""
+        now = rows.withColumn("comp", F.col("line")) if comps is None else rows.join(comps, F.col("line") == F.col("c"), "left").select("key", "line", "tag", F.coalesce("comp", "line").alias("comp"))
+        over = now.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"), F.count("*").over(w).alias("n"))
+        return _dealt(_blocks(over.where("lo < hi").drop("lo", "hi"), BLOCK).select("key", "part", "line", "tag", "comp"))
+
+    few = shared.where(F.shiftright("key", 4) % FIRST_KEYS == 0)
+    pairs = stash(spark, mapped(apart(None, few), _candidates, "a bigint, b bigint").distinct())
+    texts = _texts(spark, own, where, pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
+    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("words").alias("s")), "a").join(texts.select(F.col("line").alias("b"), F.col("words").alias("t")), "b")
+    comps = merged(spark, None, stash(spark, mapped(both, _check, "a bigint, b bigint")))
+    doubtful = stash(spark, mapped(apart(comps, shared), _doubtful, "key bigint, line bigint").distinct())
+    if doubtful.isEmpty():
+        return comps
+    # lines that a key holds together form a cluster: each hangs on the key's least line
+    star = doubtful.join(doubtful.groupBy("key").agg(F.min("line").alias("least")), "key").select(F.col("line").alias("a"), F.col("least").alias("b"))
+    cluster = components(spark, star).select(F.col("node").alias("line"), F.col("component").alias("key"))
+    cluster = cluster.join(cluster.groupBy("key").agg(F.count("*").alias("n")), "key")
+    if comps is not None:
+        cluster = cluster.join(comps, F.col("line") == F.col("c"), "left").select("key", "n", "line", F.coalesce("comp", "line").alias("comp"))
+    else:
+        cluster = cluster.withColumn("comp", F.col("line"))
+    cluster = stash(spark, cluster)
+    texts = _texts(spark, own, where, cluster.select("line"))
+    dealt = _dealt(_blocks(cluster, CLUSTER_BLOCK).join(texts, "line").select("key", "part", "line", "comp", "words"))
+    return merged(spark, comps, stash(spark, mapped(dealt, _clusters, "a bigint, b bigint").distinct()))
 
 
 DEDUPED = "n_lines bigint, n_removed bigint, kept_sha256 string, kept string"
@@ -390,7 +512,7 @@ def dedup_lines(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: s
     """
     kind = df.schema[key].dataType.simpleString()
     own = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.xxhash64("k", "text").alias("r"), "k", "text")
-    where = stash(spark, own.mapInArrow(_lines(short), f"r bigint, k {kind}, lines array<bigint>, places array<int>"))
+    where = stash(spark, mapped(own, _lines(short), f"r bigint, k {kind}, lines array<bigint>, places array<int>"))
     comps = line_classes(spark, own, where)
     places = where.select("r", "k", F.explode(F.arrays_zip("lines", "places")).alias("x")).select("r", "k", F.col("x.lines").alias("line"), F.col("x.places").alias("place"))
     # lines that occur once and resemble none stay
@@ -421,4 +543,4 @@ def dedup_lines(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: s
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=[key, "n_lines", "n_removed", "kept_sha256", "kept"])
 
-    return own.join(cut, "r", "left").select("k", "text", "gone").mapInArrow(strip, f"`{key}` {kind}, {DEDUPED}")
+    return mapped(own.join(cut, "r", "left").select("k", "text", "gone"), strip, f"`{key}` {kind}, {DEDUPED}")

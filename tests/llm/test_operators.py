@@ -81,6 +81,15 @@ def test_edits():
     for _ in range(4000):
         a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(2))
         assert lines.edits_within(a, b) == (slow(a, b) <= 2)
+    pairs = [("".join(rng.choice("abä") for _ in range(rng.randint(0, 40))) for _ in range(2)) for _ in range(300)]
+    pairs = [(a, b) for a, b in pairs]
+    pairs += [(a[:9] + "xy" + a[11:], a[3:]) for a, _ in pairs] + [("", ""), ("", "abc"), ("abc", "")]
+    want = np.array([slow(a, b) for a, b in pairs])
+    for most in (0, 1, 2, 5, 15, 16, 31):
+        got = lines.distances([lines.points(a) for a, _ in pairs], [lines.points(b) for _, b in pairs], most)
+        assert (got[want <= most] == want[want <= most]).all() and (got[want > most] > most).all()
+    bounds = np.array([rng.choice([1, 4, 9, 20, 40]) for _ in pairs])
+    assert (lines.within([lines.points(a) for a, _ in pairs], [lines.points(b) for _, b in pairs], bounds) == (want <= bounds)).all()
 
 
 def test_lines(spark):
