@@ -14,10 +14,11 @@ member at place p of n meets others of size up to ((10 + T)(n - p) - T n) / T, T
 Links that would join what is joined already need no check, so there are three rounds. The first takes few
 tokens, which joins most copies; the second all prefix tokens, but only of groups that still hold two
 components. In both each component names its best partners of other components in a group, so a group of m
-members makes m pairs or few times that, which are verified on the texts. Groups in which pairs were left out
-come again in the third, which sends the members' whole sets there, compares every pair that the tree
-leaves of different components, and returns the links of a spanning forest, again m at most. No
-pair is left out there, so the components are those of all links.
+members makes m pairs or few times that, which are verified on the texts. Members of pairs that were left out
+there, and that a token still holds together in two components, form clusters by these tokens. In the third round each member's whole set
+is sent once to each pair of blocks of its cluster, where every pair of different components that the
+tree leaves is compared; what comes back is a spanning forest, again m links at most. No pair
+is left out there, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KNOWN, chunks, gram_hashes, lists, lowered, mapped, merged, mix, prefix_sums, range_hash, signed, spans, stash, word_hashes
+from .common import KNOWN, chunks, components, gram_hashes, lists, lowered, mapped, merged, mix, prefix_sums, range_hash, signed, spans, stash, word_hashes
 
 GRAM, TENTHS = 5, 8
 #: Tokens in the list of frequent ones, and occurrences in one buffer of TOKEN_BUFFER tokens that make a candidate for it.
 FREQUENT, OFTEN, TOKEN_BUFFER = 1 << 16, 8, 1 << 21
 #: Tokens used in the first round; partners that a component names in a group of the first and of the second round.
 FIRST_TOKENS, PARTNERS = 4, (2, 1)
-#: Members of a group that are compared in one task, and tokens of their sets in the third round; larger groups are compared by pairs of blocks.
+#: Members of a group that are compared in one task, and tokens of their sets in a cluster; larger ones are compared by pairs of blocks.
 BLOCK, BLOCK_TOKENS = 2048, 1 << 19
 LEAF = 16
 #: Pairs that a tree gives at once.
@@ -195,35 +196,43 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]
 
 def _candidates(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        left: list[int] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
         size = 0
         for group in _groups(batches):
             own = pa.Table.from_batches(group)
             c, n, top, comp, first = (own.column(x).to_numpy() for x in ("c", "n", "top", "comp", "first"))
             i = j = np.zeros(0, np.int64)
-            score, all_kept = np.zeros(0), True
+            score, left = np.zeros(0), np.zeros(len(c), bool)
             for p, q, value in similar(own.column("map").to_pylist(), n, first):
                 apart = (comp[p] != comp[q]) & (n[p] <= top[q]) & (n[q] <= top[p])
                 i, j, score = np.concatenate([i, p[apart]]), np.concatenate([j, q[apart]]), np.concatenate([score, value[apart]])
                 keep = partners(comp[i], comp[j], score, most)
-                all_kept &= bool(keep.all())
+                left[i[~keep]] = left[j[~keep]] = True
                 i, j, score = i[keep], j[keep], score[keep]
-            if not all_kept:
-                left.append(int(group[0].column(0)[0].as_py()))
-            if len(i):
-                out.append((np.minimum(c[i], c[j]), np.maximum(c[i], c[j])))
-                size += len(i)
+            if left.any():
+                out.append((c[left], c[left], np.full(int(left.sum()), group[0].column(0)[0].as_py())))
+            out.append((np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), None))
+            size += len(i) + int(left.sum())
             if size > 100_000:
-                yield _pairs(out, left)
-                out, left, size = [], [], 0
-        yield _pairs(out, left)
+                yield _pairs(out)
+                out, size = [], 0
+        yield _pairs(out)
 
     return run
 
 
-def forest(tokens: np.ndarray, bounds: np.ndarray, comp: np.ndarray, top: np.ndarray) -> list[tuple[int, int]]:
-    """Links (i, j) that join all members of a group that are linked, apart from those that comp joins already.
+def _pairs(out: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
+    """Rows of pairs (token null), then of members of pairs left out (a and b the member, token the group's)."""
+    empty = [np.zeros(0, np.int64)]
+    a, b = (np.concatenate(empty + [x[k] for x in out if x[2] is None]) for k in (0, 1))
+    pair = np.unique(np.stack([a, b]), axis=1)
+    member, token = (np.concatenate(empty + [x[k] for x in out if x[2] is not None]) for k in (0, 2))
+    columns = [pa.concat_arrays([pa.array(x), pa.array(member)]) for x in pair]
+    return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(pair.shape[1], pa.int64()), pa.array(token)])], names=["a", "b", "token"])
+
+
+def forest(tokens: np.ndarray, bounds: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that join all members that are linked, apart from those that comp joins already.
 
     tokens: the members' whole sets end to end. Pairs that the tree leaves are compared exactly, a member
     against all others of different components at once.
@@ -238,7 +247,7 @@ def forest(tokens: np.ndarray, bounds: np.ndarray, comp: np.ndarray, top: np.nda
         heads = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else []
         for a, b in zip(heads, [*heads[1:], len(i)], strict=True):
             own, others = i[a], j[a:b]
-            others = others[(label[others] != label[own]) & (n[own] <= top[others]) & (n[others] <= top[own])]
+            others = others[label[others] != label[own]]
             if not len(others):
                 continue
             at[ids[bounds[own] : bounds[own + 1]]] = True
@@ -256,23 +265,14 @@ def forest(tokens: np.ndarray, bounds: np.ndarray, comp: np.ndarray, top: np.nda
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in _groups(batches):
         own = pa.Table.from_batches(group)
-        c, comp, top = (own.column(x).to_numpy() for x in ("c", "comp", "top"))
+        c, comp = (own.column(x).to_numpy() for x in ("c", "comp"))
         sets = own.column("s").combine_chunks()
         bounds = sets.offsets.to_numpy().astype(np.int64)
         tokens = sets.values.to_numpy().view(np.uint64)[bounds[0] : bounds[-1]]
-        links = np.array(forest(tokens, bounds - bounds[0], comp, top), np.int64).reshape(-1, 2)
+        links = np.array(forest(tokens, bounds - bounds[0], comp), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(c[links[:, 0]]), pa.array(c[links[:, 1]])], names=["a", "b"])
 
 
-def _pairs(out: list[tuple[np.ndarray, np.ndarray]], left: list[int]) -> pa.RecordBatch:
-    """Rows of pairs (token null), then of tokens in whose groups pairs were left out (a and b null)."""
-    a = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in out)])
-    b = np.concatenate([np.zeros(0, np.int64), *(x for _, x in out)])
-    pair, none = np.unique(np.stack([a, b]), axis=1), pa.nulls(len(left), pa.int64())
-    columns = [pa.concat_arrays([pa.array(x), none]) for x in pair]
-    return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(pair.shape[1], pa.int64()), pa.array(left, pa.int64())])], names=["a", "b", "token"])
-
-
 # ---------------------------------------------------------------- the join
 
 
@@ -359,11 +359,10 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
         pairs = stash(spark, pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
         checked = pairs
         comps = merged(spark, comps, _verified(spark, own, docs, pairs))
-    open_ = stash(spark, found.where("token is not null").select("token").distinct())
-    if not open_.isEmpty():
-        left = stash(spark, _mixed(rows, comps, None, open_))
+    left = stash(spark, _clusters(spark, found.where("token is not null").select("token", F.col("a").alias("c")).distinct(), rows, comps))
+    if not left.isEmpty():
         sets = _sets(spark, own, docs, left.select("c").distinct())
-        dealt = left.join(sets, "c").select("token", "part", "c", "top", "comp", "s").repartition("token", "part").sortWithinPartitions("token", "part")
+        dealt = left.join(sets, "c").select("cluster", "part", "c", "comp", "s").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
         comps = merged(spark, comps, stash(spark, mapped(dealt, _exact, "a bigint, b bigint").distinct()))
     classes = docs.where("c is not null").groupBy("c").agg(F.min("k").alias("low"))
     if comps is not None:
@@ -375,32 +374,48 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
     return docs.join(named, "c", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("k")).otherwise(F.col("component")).alias("component_id"), F.col("c").alias("class_id"))
 
 
-def _mixed(rows: DataFrame, comps: DataFrame | None, most: int | None, only: DataFrame | None = None) -> DataFrame:
+def _mixed(rows: DataFrame, comps: DataFrame | None, most: int | None) -> DataFrame:
     """(token, part, c, n, top, comp) of groups that hold two components: members that another one's size
     and place allow, the group cut into blocks, each pair of which is a part.
 
-    rows: (c, n, tokens); most: tokens taken; only: (token), the groups wanted, whose blocks then are of
-    BLOCK_TOKENS tokens of whole sets.
+    rows: (c, n, tokens); most: tokens taken.
     """
     # joined before tokens are listed; null stands for a class that is its own component
     at = rows.withColumn("comp", F.lit(None).cast("bigint")) if comps is None else rows.join(comps, "c", "left")
     tokens = at.select("c", "n", F.nullif(F.col("comp"), F.col("c")).alias("moved"), F.posexplode(F.slice("tokens", 1, most) if most else F.col("tokens")).alias("pos", "token"))
-    if only is not None:
-        tokens = tokens.join(only, "token", "left_semi")
     top = F.floor(((10 + TENTHS) * (F.col("n") - F.col("pos")) - TENTHS * F.col("n")) / TENTHS).cast("int")
     tokens = tokens.select("token", "c", "n", top.alias("top"), F.coalesce("moved", "c").alias("comp")).repartition("token")
     by = Window.partitionBy("token").orderBy("n")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     over = tokens.select(
-        "*", F.min("comp").over(whole).alias("lo"), F.max("comp").over(whole).alias("hi"), F.count("*").over(whole).alias("size"), F.sum("n").over(whole).alias("all"), F.min("n").over(whole).alias("least"),
+        "*", F.min("comp").over(whole).alias("lo"), F.max("comp").over(whole).alias("hi"), F.count("*").over(whole).alias("size"), F.min("n").over(whole).alias("least"),
         F.max("top").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.lead("n").over(by).alias("next"), F.lead("top").over(by).alias("next_top"),
     )
     mixed = over.where("lo < hi and (least <= top and before >= n or next <= top and (size > 2 or next_top >= n))")
-    blocks = F.ceil(F.col("size") / BLOCK if only is None else F.greatest(F.col("size") / BLOCK, F.col("all") / BLOCK_TOKENS)).cast("int")
-    x = F.pmod(F.xxhash64("c"), blocks).cast("int")
-    cut = mixed.select("token", "c", "n", "top", "comp", blocks.alias("m"), x.alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"))
-    part = F.least("x", "y") * F.col("m") + F.greatest("x", "y")
-    return cut.select("token", part.cast("bigint").alias("part"), "c", "n", "top", "comp")
+    return _blocks(mixed.withColumn("m", F.ceil(F.col("size") / BLOCK).cast("int"))).select("token", "part", "c", "n", "top", "comp")
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    """df (c, m: blocks of the group, ...) with a column part for each pair of blocks."""
+    cut = df.withColumn("x", F.pmod(F.xxhash64("c"), F.col("m")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return cut.withColumn("part", (F.least("x", "y") * F.col("m") + F.greatest("x", "y")).cast("bigint"))
+
+
+def _clusters(spark: SparkSession, members: DataFrame, rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(cluster, part, c, comp): clusters of members (token, c) by the tokens that hold two components, cut into blocks."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("comp", F.col("c")) if comps is None else df.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+
+    members = placed(members)
+    tokens = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("c").alias("least")).where("lo < hi")
+    # each hangs on the token's least member
+    stars = stash(spark, members.join(tokens, "token").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct())
+    if stars.isEmpty():
+        return spark.createDataFrame([], "cluster bigint, part bigint, c bigint, comp bigint")
+    own = placed(components(spark, stars).select(F.col("node").alias("c"), F.col("component").alias("cluster"))).join(rows.select("c", "n"), "c")
+    sizes = own.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("m"))
+    return _blocks(own.join(sizes, "cluster")).select("cluster", "part", "c", "comp")
 
 
 def _sets(spark: SparkSession, own: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
