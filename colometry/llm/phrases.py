@@ -3,10 +3,13 @@
 A window is WINDOW consecutive words; it recurs if its word sequence starts at two places of the corpus.
 Confirming: each window names an anchor, the 8-gram of least hash in it, so equal windows name equal
 anchors and about 7 % of the places need to be compared. The windows that name one anchor occurrence make
-its context. A context met twice recurs as a whole; only anchors with several different contexts (the
-edges of passages) need counts of single windows, taken once for each different context. Locating: runs of
-recurring windows are the phrases; sharded Aho-Corasick automata of them stream the contexts of all
-documents (each different one once, a word being two characters of 20 bits) and give every occurrence.
+its context. Only contexts whose anchor occurs twice are looked at, each different one once. One that is met
+twice and is its anchor's only one is a phrase as a whole; in the others single windows are counted, and
+neighbours that always follow each other make a phrase, taken from one of the contexts that have it.
+Locating: the phrases are compiled into sharded Aho-Corasick automata, dealt by anchor, and the documents stream
+through: every context (each different one once, a word being two characters of 20 bits) through the automaton of
+its anchor, the only one that can have a phrase of it. The hits are the only record of what recurs where: a phrase is compiled
+from one occurrence, and the others are found by the automaton.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, lists, prefix_sums, range_hash, signed, spans, stash, word_hashes
+from .common import chunks, gram_hashes, lists, mapped, prefix_sums, range_hash, signed, spans, stash, word_hashes
 
 WINDOW, ANCHOR = 35, 8
 _REACH = WINDOW - ANCHOR + 1
-#: Contexts in one automaton's shard, on average. Shards are dealt by context, so a frequent anchor spreads over all.
-SHARD = 8_000
+#: Contexts in one shard, on average; an anchor with more contexts than SPREAD is dealt to several, each of which gets its phrases.
+SHARD, SPREAD = 8_000, 4_000
 
 
 def anchors(words: np.ndarray, own: np.ndarray, window: int = WINDOW, gram: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -38,15 +41,12 @@ def anchors(words: np.ndarray, own: np.ndarray, window: int = WINDOW, gram: int
         return (np.zeros(0, np.int64),) * 5
     g = gram_hashes(words, gram)
     # least hash, then the rightmost place, within reach grams: minima over doubling ranges
-    place = np.uint64((1 << 26) - 1)
-    low = (g & ~place) | (place - np.arange(len(g), dtype=np.uint64))
-    size = 1
-    while 2 * size <= reach:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    rest = reach - size
-    low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    at = (place - (low & place)).astype(np.int64)  # the anchor's place for each window start
+    low, at, size = g, np.arange(len(g)), 1
+    while size < reach:
+        step = min(size, reach - size)
+        right = low[step:] <= low[:-step]
+        low, at = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
+        size += step
     sizes = np.diff(own)
     text = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - window + 1))
     count = np.maximum(0, sizes - window + 1)
@@ -77,67 +77,67 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, c, n, hashes of the windows, characters) of the listed contexts of each text."""
+    """(a, c, n, kinds, hashes of the windows, characters) of the listed contexts of each text; no hashes where
+    the anchor has no other context."""
     for rows, data, bounds in chunks(batches, "text"):
         starts, ends, own = spans(data, bounds)
         words = word_hashes(data, starts, ends)
         sums = prefix_sums(words)
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for i, listed in enumerate(rows.column("listed").to_pylist()):
             for x in listed:
                 lo, hi = own[i] + x["lo"], own[i] + x["hi"]
-                at = np.arange(lo, hi + 1)
-                for column, value in zip(out, (x["a"], x["c"], x["n"], range_hash(sums, at, at + WINDOW), _characters(words[lo : hi + WINDOW])), strict=True):
+                at = np.arange(lo, hi + 1) if x["kinds"] > 1 else np.zeros(0, np.int64)
+                for column, value in zip(out, (x["a"], x["c"], x["n"], x["kinds"], range_hash(sums, at, at + WINDOW), _characters(words[lo : hi + WINDOW])), strict=True):
                     column.append(value)
-        sizes = np.concatenate([[0], np.cumsum([len(x) for x in out[3]])]).astype(np.int64)
-        hashes = lists(signed(np.concatenate([np.zeros(0, np.uint64), *out[3]])), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), hashes, pa.array(out[4], pa.string())], names=["a", "c", "n", "windows", "chars"])
+        sizes = np.concatenate([[0], np.cumsum([len(x) for x in out[4]])]).astype(np.int64)
+        hashes = lists(signed(np.concatenate([np.zeros(0, np.uint64), *out[4]])), sizes)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), hashes, pa.array(out[5], pa.string())], names=["a", "c", "n", "kinds", "windows", "chars"])
+
+
+def phrases(windows: list[dict], chars: str) -> Iterator[str]:
+    """Of a context the phrases that are taken from it: runs of its windows (p, then, before), then being whether
+    the next window always follows, before whether the one ahead always goes before."""
+    windows = sorted(windows, key=lambda x: x["p"])
+    for k, x in enumerate(windows):
+        if not k or windows[k - 1]["p"] + 1 != x["p"] or not (windows[k - 1]["then"] and x["before"]):
+            begin = x["p"]
+        if k + 1 == len(windows) or windows[k + 1]["p"] != x["p"] + 1 or not (x["then"] and windows[k + 1]["before"]):
+            yield chars[2 * begin : 2 * (x["p"] + WINDOW)]
+
+
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, found = [], []
+        for k, (windows, chars) in enumerate(zip(batch.column("windows").to_pylist(), batch.column("chars").to_pylist(), strict=True)):
+            for phrase in phrases(windows, chars):
+                keys.append(k)
+                found.append(phrase)
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keys, pa.int64())), pa.array(found, pa.string())], names=["a", "chars"])
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One automaton after another: rows come sorted by shard, each with the places of recurring windows."""
-
-    def shard(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        texts, found = t.column("chars").to_pylist(), t.column("recurring").to_pylist()
-        automaton = ahocorasick.Automaton()
-        for text, places in zip(texts, found, strict=True):
-            for lo, hi in _runs(sorted(places or ())):
-                phrase = text[2 * lo : 2 * (hi + WINDOW)]
-                automaton.add_word(phrase, len(phrase))
-        ids, spots = [], []
-        if len(automaton):
-            automaton.make_automaton()
-            for k, text in enumerate(texts):
-                for end, size in automaton.iter(text):
-                    if (end + 1 - size) % 2 == 0:
-                        ids.append(k)
-                        spots.append({"lo": (end + 1 - size) // 2, "hi": (end + 1) // 2})
-        ids_ = pa.array(ids, pa.int64())
-        kinds = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
-        return pa.RecordBatch.from_arrays([t.column("a").combine_chunks().take(ids_), t.column("c").combine_chunks().take(ids_), pa.array(spots, kinds)], names=["a", "c", "spot"])
-
-    held: list[pa.RecordBatch] = []
+    """Rows come by shard, its phrases (c null) first, then the contexts that stream through their automaton."""
+    spot = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
+    shard, automaton = None, None
     for batch in batches:
-        keys = batch.column("shard").to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and b > a and held[-1].column("shard")[0].as_py() != keys[a]:
-                yield shard(held)
-                held = []
-            if b > a:
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield shard(held)
-
-
-def _runs(places: list[int]) -> Iterator[tuple[int, int]]:
-    """First and last of each run of consecutive numbers."""
-    for k, x in enumerate(places):
-        if not k or x != places[k - 1] + 1:
-            begin = x
-        if k + 1 == len(places) or places[k + 1] != x + 1:
-            yield begin, x
+        at, spots = [], []
+        for k, (own, context, chars) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("shard", "c", "chars")), strict=True)):
+            if own != shard:
+                shard, automaton = own, ahocorasick.Automaton()
+            if context is None:
+                automaton.add_word(chars, len(chars))
+                continue
+            if not len(automaton):
+                continue
+            if automaton.kind != ahocorasick.AHOCORASICK:
+                automaton.make_automaton()
+            for end, size in automaton.iter(chars):
+                if (end + 1 - size) % 2 == 0:
+                    at.append(k)
+                    spots.append({"lo": (end + 1 - size) // 2, "hi": (end + 1) // 2})
+        rows = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("c").take(rows), pa.array(spots, spot)], names=["a", "c", "spot"])
 
 
 DEDUPED = "n_words bigint, n_removed bigint, kept_sha256 string, kept string"
@@ -153,21 +153,28 @@ def remove_repeats(spark: SparkSession, df: DataFrame, key: str = "doc_id", text
     """
     kind = df.schema[key].dataType.simpleString()
     own = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.xxhash64("k", "text").alias("r"), "k", "text")
-    occurrences = stash(spark, own.select("r", "text").mapInArrow(_occurrences, "a bigint, c bigint, r bigint, lo int, hi int"))
+    occurrences = stash(spark, mapped(own.select("r", "text"), _occurrences, "a bigint, c bigint, r bigint, lo int, hi int"))
     contexts = occurrences.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("r", "lo", "hi")).alias("at"))
     often = contexts.groupBy("a").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    repeated = stash(spark, contexts.join(often, "a").where("n > 1 or kinds > 1"))
-    # single windows, for anchors with several contexts
-    listed = repeated.where("kinds > 1").groupBy("at.r").agg(F.collect_list(F.struct("a", "c", "n", "at.lo", "at.hi")).alias("listed"))
-    edges = stash(spark, own.select("r", "text").join(listed, "r").select("text", "listed").mapInArrow(_contexts, "a bigint, c bigint, n bigint, windows array<bigint>, chars string").dropDuplicates(["a", "c"]))
-    windows = edges.select("a", "c", "n", F.posexplode("windows").alias("p", "w"))
-    recurring = windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
-    places = windows.join(recurring, "w").groupBy("a", "c").agg(F.collect_list("p").alias("recurring"))
+    repeated = contexts.join(often, "a")
+    listed = repeated.groupBy("at.r").agg(F.collect_list(F.struct("a", "c", "n", "kinds", "at.lo", "at.hi")).alias("listed"))
+    edges = stash(spark, mapped(own.select("r", "text").join(listed, "r").select("text", "listed"), _contexts, "a bigint, c bigint, n bigint, kinds bigint, windows array<bigint>, chars string").dropDuplicates(["a", "c"]))
+    # windows with those next to them; 0 beyond the context, whose ends its words decide
+    windows = edges.where("kinds > 1").select("a", "c", "n", "windows", F.posexplode("windows").alias("p", "w"))
+    beside = lambda step: F.coalesce(F.get("windows", F.col("p") + step), F.lit(0)).alias
+    windows = windows.select("n", "w", F.struct("a", "c", "p").alias("first"), beside(1)("then"), beside(-1)("before"))
+    single = lambda x: (F.min(x) == F.max(x)).alias(x)
+    recurring = windows.groupBy("w").agg(F.sum("n").alias("n"), F.min("first").alias("first"), single("then"), single("before")).where("n > 1")
+    taken = recurring.groupBy(F.col("first.a").alias("a"), F.col("first.c").alias("c")).agg(F.collect_list(F.struct("first.p", "then", "before")).alias("windows"))
+    parts = mapped(edges.select("a", "c", "chars").join(taken, ["a", "c"]).select("a", "windows", "chars"), _phrases, "a bigint, chars string")
+    found = edges.where("kinds = 1").select("a", "chars").union(parts)
+    # a frequent anchor's contexts go to several shards, its phrases to each of them
     shards = max(1, edges.count() // SHARD)
-    dealt = edges.join(places, ["a", "c"]).select("a", "c", "chars", "recurring", F.pmod(F.xxhash64("c"), F.lit(shards)).alias("shard"))
-    spots = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_locate, "a bigint, c bigint, spot struct<lo:int,hi:int>")
-    whole = repeated.where("n > 1").select("a", "c", F.struct(F.lit(0).alias("lo"), (F.col("at.hi") - F.col("at.lo") + WINDOW).cast("int").alias("hi")).alias("spot"))
-    located = stash(spark, whole.union(spots.join(repeated.where("n > 1"), ["a", "c"], "left_anti")).distinct())
+    spread = edges.where(f"kinds > {SPREAD}").groupBy("a").agg(F.ceil(F.max("kinds") / SPREAD).cast("int").alias("m"))
+    phrase = found.join(spread, "a", "left").withColumn("m", F.coalesce("m", F.lit(1))).select("a", F.lit(None).cast("bigint").alias("c"), "chars", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
+    context = edges.select("a", "c", "chars", F.pmod(F.xxhash64("c"), F.ceil(F.col("kinds") / SPREAD).cast("int")).cast("int").alias("x"))
+    dealt = phrase.union(context).withColumn("shard", F.pmod(F.xxhash64("a", "x"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", F.col("c").isNotNull())
+    located = stash(spark, mapped(dealt, _locate, "a bigint, c bigint, spot struct<lo:int,hi:int>").distinct())
     covered = occurrences.join(located, ["a", "c"]).select("r", F.struct((F.col("lo") + F.col("spot.lo")).alias("lo"), (F.col("lo") + F.col("spot.hi")).alias("hi")).alias("x"))
     cover = covered.groupBy("r").agg(F.collect_set("x").alias("cover"))
 
@@ -189,4 +196,4 @@ def remove_repeats(spark: SparkSession, df: DataFrame, key: str = "doc_id", text
                     column.append(value)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=[key, "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return own.join(cover, "r", "left").select("k", "text", "cover").mapInArrow(strip, f"`{key}` {kind}, {DEDUPED}")
+    return mapped(own.join(cover, "r", "left").select("k", "text", "cover"), strip, f"`{key}` {kind}, {DEDUPED}")
