@@ -40,6 +40,8 @@ CHARS = 8
 FIRST_KEYS, BLOCK, CLUSTER_BLOCK = 4, 2048, 512
 #: Pairs of lines verified at once, and bins of characters that are counted before.
 PAIRS, BINS = 512, 64
+#: Rows of a group whose pairs are listed together with those of other groups, and pairs listed at once.
+SMALL, STEP = 64, 1 << 19
 #: Lines to verify, or places of lines to remove, that may be broadcast (about 8 bytes each); beyond, documents are shuffled and joined.
 BROADCAST = 2_000_000
 #: Bytes of text for each bucket of index and probe rows; a task holds the rows of one bucket.
@@ -264,20 +266,22 @@ def _keys(buckets: int):
             cp = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), "<u4")
             sig = parities(cp, lo, hi)
             keys, who, probe = segment_rows(prefix_sums(cp), lo, hi - lo)
+            order = np.argsort(keys)
+            who, probe = who[order], probe[order]
             rows = np.empty(len(who), _ROW)
-            rows["key"], rows["line"] = keys.view(np.int64), lids[who]
+            rows["key"], rows["line"] = keys[order].view(np.int64), lids[who]
             rows["tag"] = sig[who] | np.where(probe, np.iinfo(np.int32).min, 0).astype(np.int32)
-            rows = rows[np.argsort(rows["key"], kind="stable")]
             cut, low, high = _ends(rows)
             size = np.diff(np.append(cut, len(rows)))
             many = (low < high) & (size > 2)
             direct = np.repeat(many, size)
             stands = np.zeros(2 * int(many.sum()), _ROW)
             stands["key"], stands["line"] = np.repeat(rows["key"][cut[many]], 2), np.stack([low[many], high[many]], axis=1).ravel()
-            yield from _packed(rows[~direct], _ROWS, buckets)
-            yield from _packed(stands, _STANDS, buckets)
             if direct.any():
                 yield _pack([(int(lids[0] + n) % buckets, rows[direct])], _KNOWN)
+                rows = rows[~direct]
+            yield from _packed(rows, _ROWS, buckets)
+            yield from _packed(stands, _STANDS, buckets)
 
     return run
 
@@ -293,11 +297,10 @@ def _pack(parts: list[tuple[int, np.ndarray]], kind: int) -> pa.RecordBatch:
 
 
 def _packed(rows: np.ndarray, kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key; a bucket is a range of keys."""
     if not len(rows):
         return
-    bucket = (mix(rows["key"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    rows, bucket = rows[order], bucket[order]
+    bucket = ((rows["key"].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     yield _pack([(int(bucket[a]), rows[a:b]) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True)], kind)
 
@@ -313,7 +316,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         rows = np.concatenate([x for _, x in held])
         own = np.concatenate([np.full(len(x), kind == _ROWS) for kind, x in held])
-        order = np.argsort(rows["key"], kind="stable")
+        order = np.argsort(rows["key"].view(np.uint64))
         rows, own = rows[order], own[order]
         cut, low, high = _ends(rows)
         return out(rows[np.repeat(low < high, np.diff(np.append(cut, len(rows)))) & own])
@@ -333,101 +336,171 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Groups of rows equal in key and part, by which they come sorted."""
+def _whole(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, rows equal in key and part, by which they come sorted, and where each group begins, then the end."""
     held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        key, part = batch.column("key").to_numpy(), batch.column("part").to_numpy()
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(key)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b == a:
-                continue
-            if held and last != (key[a], part[a]):
-                yield pa.Table.from_batches(held)
-                held = []
-            last = (key[a], part[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+    size = 0
 
+    def cuts(table: pa.Table) -> np.ndarray:
+        key, part = table.column("key").to_numpy(), table.column("part").to_numpy()
+        return np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1])
 
-def _possible(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, index row, unlikeness) of rows of different components that may be near copies, a block of rows at once."""
-    tag, comp = group.column("tag").to_numpy(), group.column("comp").to_numpy()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < least:
+            continue
+        table = pa.Table.from_batches(held)
+        cut = cuts(table)
+        held, size = table.slice(int(cut[-1])).combine_chunks().to_batches(), table.num_rows - int(cut[-1])
+        if len(cut) > 1:
+            yield table.slice(0, int(cut[-1])), cut
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, np.append(cuts(table), table.num_rows)
+
+
+def pairs_within(begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j, of all rows of one group, group by group, at most STEP or one group's at once."""
+    count = size * (size - 1) // 2
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP, "right")))
+        # each row but a group's last with those behind it
+        rows = np.repeat(begin[at:end], size[at:end])
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(size[at:end]) - size[at:end], size[at:end])
+        behind = np.repeat(size[at:end], size[at:end]) - place - 1
+        first = np.repeat(rows + place, behind)
+        step = np.arange(len(first)) - np.repeat(np.cumsum(behind) - behind, behind)
+        yield first, first + step + 1
+        at = end
+
+
+def _possible(table: pa.Table, cut: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, unlikeness) of rows of one group, one of them an index row, of different components that may be near copies.
+
+    The small groups' together, then each larger one's, a block of rows at once.
+    """
+    key, tag, comp = (table.column(x).to_numpy() for x in ("key", "tag", "comp"))
     sig = (tag & np.int32(0x7FFFFFFF)).astype(np.uint32)
-    index = np.flatnonzero(tag >= 0)
-    most = int(group.column("key")[0].as_py()) & 15
-    odd, size = sig & np.uint32(0xFFFFFF), (sig >> np.uint32(24)).astype(np.int16)
-    bits, apart = (2 * most, most) if most < 15 else (24, 127)
-    for a in range(0, len(tag), 512):
-        own = slice(a, a + 512)
-        longer = (size[own, None] - size[None, index]) & 127
+    odd, length = sig & np.uint32(0xFFFFFF), (sig >> np.uint32(24)).astype(np.int16)
+    low = (key & 15).astype(np.int16)
+    bits, apart = np.where(low < 15, 2 * low, 24).astype(np.int16), np.where(low < 15, low, 127).astype(np.int16)
+
+    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok = ((tag[i] >= 0) | (tag[j] >= 0)) & (comp[i] != comp[j])
+        i, j = i[ok], j[ok]
+        longer = (length[i] - length[j]) & 127
         longer = np.minimum(longer, 128 - longer)
-        unlike = np.bitwise_count(odd[own, None] ^ odd[None, index])
-        p, i = np.nonzero((unlike <= bits) & (longer <= apart) & (comp[own, None] != comp[None, index]))
-        yield p + a, index[i], unlike[p, i] + longer[p, i]
+        unlike = np.bitwise_count(odd[i] ^ odd[j]).astype(np.int16)
+        ok = (unlike <= bits[i]) & (longer <= apart[i])
+        return i[ok], j[ok], (unlike + longer)[ok].astype(np.int64)
+
+    size = np.diff(cut)
+    small = (size > 1) & (size <= SMALL)
+    for i, j in pairs_within(cut[:-1][small], size[small]):
+        yield near(i, j)
+    for k in np.flatnonzero(size > SMALL).tolist():
+        index = np.arange(cut[k], cut[k + 1])
+        index = index[tag[index] >= 0]
+        for a in range(int(cut[k]), int(cut[k + 1]), 256):
+            own = np.arange(a, min(a + 256, int(cut[k + 1])))
+            i, j = np.repeat(own, len(index)), np.tile(index, len(own))
+            # two index rows meet twice
+            once = (i < j) | (tag[i] < 0)
+            yield near(i[once], j[once])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each group the most alike partner of each component."""
-    for group in _held(batches):
-        line, comp = group.column("line").to_numpy(), group.column("comp").to_numpy()
+    for table, cut in _whole(batches):
+        line, comp = table.column("line").to_numpy(), table.column("comp").to_numpy()
+        group = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
         i = j = worst = np.zeros(0, np.int64)
-        for p, q, unlike in _possible(group):
+        for p, q, unlike in _possible(table, cut):
             i, j, worst = np.concatenate([i, p]), np.concatenate([j, q]), np.concatenate([worst, unlike])
-            who, other, pair = np.concatenate([comp[i], comp[j]]), np.concatenate([line[j], line[i]]), np.tile(np.arange(len(i)), 2)
-            order = np.lexsort((other, worst[pair], who))
-            best = order[np.flatnonzero(np.concatenate([[True], who[order][1:] != who[order][:-1]]))] if len(who) else order
-            keep = np.unique(pair[best])
-            i, j, worst = i[keep], j[keep], worst[keep]
-        if len(i):
-            both = np.unique(np.sort(np.stack([line[i], line[j]]), axis=0), axis=1)
+            if len(i) > STEP:
+                keep = _best(group, line, comp, i, j, worst)
+                i, j, worst = i[keep], j[keep], worst[keep]
+        keep = _best(group, line, comp, i, j, worst)
+        if len(keep):
+            both = np.unique(np.sort(np.stack([line[i[keep]], line[j[keep]]]), axis=0), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
 
+def _best(group: np.ndarray, line: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray, worst: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs that are the most alike ones of either component in the group."""
+    if not len(i):
+        return np.zeros(0, np.int64)
+    who, other, pair = np.concatenate([comp[i], comp[j]]), np.concatenate([line[j], line[i]]), np.tile(np.arange(len(i)), 2)
+    of = group[i][pair]
+    order = np.lexsort((other, worst[pair], who, of))
+    first = np.concatenate([[True], (who[order][1:] != who[order][:-1]) | (of[order][1:] != of[order][:-1])])
+    return np.unique(pair[order[first]])
+
+
 def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, line) of rows with a possible partner of another component in their group."""
-    for group in _held(batches):
-        line = group.column("line").to_numpy()
-        seen = np.zeros(len(line), bool)
-        for p, q, _ in _possible(group):
+    for table, cut in _whole(batches):
+        seen = np.zeros(table.num_rows, bool)
+        for p, q, _ in _possible(table, cut):
             seen[p] = seen[q] = True
         if seen.any():
-            own = np.unique(line[seen])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), group.column("key")[0].as_py())), pa.array(own)], names=["key", "line"])
+            own = pa.array(np.flatnonzero(seen))
+            yield pa.RecordBatch.from_arrays([table.column(x).combine_chunks().take(own) for x in ("key", "line")], names=["key", "line"])
+
 
+def forest(texts: list[str], comp: np.ndarray, cut: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that join all lines of each group that are linked, apart from those that comp joins already.
 
-def forest(texts: list[str], comp: np.ndarray) -> list[tuple[int, int]]:
-    """Links (i, j) that join all lines linked, apart from those that comp joins already."""
+    cut: where each group begins, then the end. Pairs that lengths and counts of characters allow, the most alike
+    first, many groups' at once; those that links have joined meanwhile aren't checked.
+    """
     lines = [points(t) for t in texts]
-    size = np.array([len(x) for x in lines])
-    order = np.argsort(size, kind="stable")
-    bins = np.stack([np.bincount(x % BINS, minlength=BINS) for x in lines]).astype(np.int32)
-    label, found = comp.copy(), []
-    for place, i in enumerate(order.tolist()):
-        # the shorter one's length decides
-        most = edits(int(size[i]))
-        rest = order[place + 1 :]
-        rest = rest[: np.searchsorted(size[rest], size[i] + most, "right")]
-        rest = rest[label[rest] != label[i]]
-        rest = rest[np.abs(bins[rest] - bins[i]).sum(axis=1) <= 2 * most]
-        # the most alike first, fewer at a time, as links spare checks
-        step = 16
-        while len(rest):
-            now, rest = rest[:step], rest[step:]
-            ok = within([lines[i]] * len(now), [lines[k] for k in now], np.full(len(now), most))
-            for j in now[ok].tolist():
-                if label[j] != label[i]:
-                    found.append((i, j))
-                    label[label == label[j]] = label[i]
-            rest, step = rest[label[rest] != label[i]], PAIRS
+    size = np.array([len(x) for x in lines], np.int64)
+    most = np.maximum(EDITS, np.sqrt(size // CHARS + 0.5).astype(np.int64))
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(lines)), size)
+    bins = np.bincount(owner * BINS + np.concatenate([np.zeros(0, np.uint32), *lines]) % BINS, minlength=len(lines) * BINS).reshape(-1, BINS).astype(np.int16) if len(ends) else np.zeros((0, BINS), np.int16)
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            if above[x] in above:
+                above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    found: list[tuple[int, int]] = []
+    for i, j in pairs_within(cut[:-1], np.diff(cut)):
+        near = np.minimum(most[i], most[j])
+        ok = (comp[i] != comp[j]) & (np.abs(size[i] - size[j]) <= near)
+        i, j, near = i[ok], j[ok], near[ok]
+        unlike = np.concatenate([np.zeros(0, np.int64), *(np.abs(bins[i[k : k + 8192]] - bins[j[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 8192))])
+        ok = unlike <= 2 * near
+        order = np.argsort(unlike[ok] - 2 * near[ok], kind="stable")
+        i, j, near = i[ok][order], j[ok][order], near[ok][order]
+        at, step = 0, PAIRS
+        while at < len(i):
+            now = [k for k in range(at, min(at + step, len(i))) if top(int(comp[i[k]])) != top(int(comp[j[k]]))]
+            if now:
+                ok = within([lines[i[k]] for k in now], [lines[j[k]] for k in now], near[now])
+                for k in np.array(now)[ok].tolist():
+                    x, y = top(int(comp[i[k]])), top(int(comp[j[k]]))
+                    if x != y:
+                        above[x] = y
+                        found.append((int(i[k]), int(j[k])))
+            at, step = at + step, min(2 * step, 16 * PAIRS)
     return found
 
 
 def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in _held(batches):
-        line, links = group.column("line").to_numpy(), forest(group.column("words").to_pylist(), group.column("comp").to_numpy())
+    for table, cut in _whole(batches, 1 << 12):
+        line = table.column("line").to_numpy()
+        links = forest(table.column("words").to_pylist(), table.column("comp").to_numpy(), cut)
         yield pa.RecordBatch.from_arrays([pa.array(line[[i for i, _ in links]]), pa.array(line[[j for _, j in links]])], names=["a", "b"])
 
 
@@ -449,7 +522,8 @@ def _blocks(df: DataFrame, size: int) -> DataFrame:
 
 
 def _dealt(df: DataFrame) -> DataFrame:
-    return df.repartition("key", "part").sortWithinPartitions("key", "part")
+    """Groups whole and sorted; in as many partitions as are set, as few bytes can be much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "part").sortWithinPartitions("key", "part")
 
 
 def _texts(spark: SparkSession, own: DataFrame, where: DataFrame, wanted: DataFrame) -> DataFrame:
