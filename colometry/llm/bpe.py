@@ -2,8 +2,9 @@
 
 Pre-tokenisation runs over arrays of codepoint classes, without regex. Each code point carries one of
 two transition functions of the position where its run began, "stay" or "begin here"; composing them is
-associative, so one running maximum yields every code point's run at once. Boundaries then follow from
-runs and neighbours. The slices feed a cache of merged pairs; their offsets are retained.
+associative, so one running maximum yields every code point's run at once. From runs and their neighbours
+follow the boundaries: where a run begins, where its white space belongs to the next one, and where an
+apostrophe that is a run of its own takes letters with it. The slices feed a cache of merged pairs; their offsets are retained.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks
+from .common import chunks, mapped
 
 L, N, S, O = range(4)
-#: Entries of a worker's cache of merged slices; a full cache starts anew, results don't depend on it.
-CACHE_ENTRIES = 400_000
+#: Bytes of a worker's cache of merged slices (about 200 an entry beside its text); a full cache starts anew, results don't depend on it.
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 200
+#: Bytes of text whose slices are held at once.
+SLICED_BYTES = 1 << 20
 #: Unicode's White_Space, fixed values.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -53,7 +56,9 @@ def boundaries(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     head = np.zeros(n + 1, dtype=bool)
     head[heads] = True
     head[n] = True
-    cut = begins.copy()
+    # the scan: where each code point's run began
+    run = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+    cut = run == np.arange(n)
     # The last white space before a visible run is cut off; a blank there joins that run.
     after = np.flatnonzero(begins & (kind != S) & ~head[:n])
     after = after[kind[after - 1] == S]
@@ -63,7 +68,6 @@ def boundaries(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     marks = np.flatnonzero((cp == 0x27) & cut)
     marks = marks[marks + 1 < n]
     if len(marks):
-        run = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
         marks = marks[(run[marks] == marks) & ~head[marks + 1] & (kind[marks + 1] == L)]
         a = cp[marks + 1]
         room = (marks + 2 < n) & ~head[np.minimum(marks + 2, n)]
@@ -83,6 +87,7 @@ class Coder(dict):
     """Slices to packed ids (little-endian unsigned 32-bit), filled on demand."""
 
     def __init__(self, vocabulary: bytes) -> None:
+        self.held = 0
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
         self.pieces = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
@@ -93,9 +98,11 @@ class Coder(dict):
         whole = self.ranks.get(raw)
         ids = [whole] if whole is not None else self.merge(raw)
         packed = np.array(ids, dtype="<u4").tobytes()
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         if len(raw) <= 256:
+            self.held += ENTRY_BYTES + 2 * len(raw)
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
             self[slice_] = packed
         return packed
 
@@ -174,7 +181,7 @@ def encode_texts(spark: SparkSession, df: DataFrame, vocabulary_path: str, key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(mark, sent.value)
-        for rows, data, bounds in chunks(batches, text):
+        for rows, data, bounds in chunks(batches, text, SLICED_BYTES):
             cut, starts, own = slices(data, bounds)
             packed = list(map(coder.__getitem__, cut))
             out: dict[str, list] = {x: [] for x in names[1:]}
@@ -195,4 +202,4 @@ def encode_texts(spark: SparkSession, df: DataFrame, vocabulary_path: str, key:
             types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "offsets": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(out[x], types.get(x, pa.string())) for x in names[1:])], names=names)
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + "".join(f", {x} {extra[x]}" for x in keep))
+    return mapped(df.select(key, text), run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + "".join(f", {x} {extra[x]}" for x in keep))

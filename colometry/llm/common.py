@@ -17,6 +17,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,25 +48,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where there is one machine, an unset one is set to a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="colometry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths stashed since each open `scratch` began.
+_SCRATCH: list[list[str]] = []
+
+
 def stash(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors.
 
-    The files go when the application ends.
+    The files go when the `scratch` around it ends, else when the application does.
     """
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+    for paths in _SCRATCH:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame | None], DataFrame | None]]:
+    """Deletes what is stashed within, but for what the function it gives is called with.
+
+    What is kept must not be read from what goes: all but the stash itself.
+    """
+    own: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame | None) -> DataFrame | None:
+        if df is not None:
+            kept.add(df._stash)
+        return df
+
+    _SCRATCH.append(own)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.remove(own)
+        for path in own:
+            if path not in kept:
+                where, files = _files(spark, path)
+                files.delete(where, True)
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

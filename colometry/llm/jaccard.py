@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KNOWN, chunks, components, gram_hashes, lists, lowered, mapped, merged, mix, prefix_sums, range_hash, signed, spans, stash, word_hashes
+from .common import KNOWN, chunks, components, gram_hashes, lists, lowered, mapped, merged, mix, prefix_sums, range_hash, scratch, signed, spans, stash, word_hashes
 
 GRAM, TENTHS = 5, 8
 #: Tokens in the list of frequent ones, and occurrences in one buffer of TOKEN_BUFFER tokens that make a candidate for it.
@@ -348,9 +348,23 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), lists(signed(np.concatenate([np.zeros(0, np.uint64), *firsts])), sizes), pa.array(maps, pa.binary())], names=["c", "n", "tokens", "map"])
 
-    feats = stash(spark, mapped(own, features, "c bigint, n bigint, tokens array<bigint>, map binary").dropDuplicates(["c"]))
+    with scratch(spark) as keep:
+        feats = stash(spark, mapped(own, features, "c bigint, n bigint, tokens array<bigint>, map binary").dropDuplicates(["c"]))
+        comps = keep(_components(spark, own, docs, feats))
+    classes = docs.where("c is not null").groupBy("c").agg(F.min("k").alias("low"))
+    if comps is not None:
+        classes = classes.join(comps, "c", "left").select("c", "low", F.coalesce("comp", "c").alias("comp"))
+    else:
+        classes = classes.withColumn("comp", F.col("c"))
+    lowest = classes.groupBy("comp").agg(F.min("low").alias("component"))
+    named = classes.join(lowest, "comp").select("c", "component")
+    return docs.join(named, "c", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("k")).otherwise(F.col("component")).alias("component_id"), F.col("c").alias("class_id"))
+
+
+def _components(spark: SparkSession, own: DataFrame, docs: DataFrame, feats: DataFrame) -> DataFrame | None:
+    """(c, comp) of linked classes, by the three rounds; None if there is no link."""
     rows = feats.select("c", F.col("n").cast("int").alias("n"), "tokens")
-    comps, checked = None, None
+    comps = checked = None
     for k, most in enumerate(PARTNERS):
         grouped = _mixed(rows, comps, FIRST_TOKENS if k == 0 else None).join(feats.select("c", F.element_at("tokens", 1).alias("first"), "map"), "c")
         dealt = grouped.select("token", "part", "c", "n", "top", "comp", "first", "map").repartition("token", "part").sortWithinPartitions("token", "part")
@@ -364,14 +378,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, key: str = "doc_id", tex
         sets = _sets(spark, own, docs, left.select("c").distinct())
         dealt = left.join(sets, "c").select("cluster", "part", "c", "comp", "s").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
         comps = merged(spark, comps, stash(spark, mapped(dealt, _exact, "a bigint, b bigint").distinct()))
-    classes = docs.where("c is not null").groupBy("c").agg(F.min("k").alias("low"))
-    if comps is not None:
-        classes = classes.join(comps, "c", "left").select("c", "low", F.coalesce("comp", "c").alias("comp"))
-    else:
-        classes = classes.withColumn("comp", F.col("c"))
-    lowest = classes.groupBy("comp").agg(F.min("low").alias("component"))
-    named = classes.join(lowest, "comp").select("c", "component")
-    return docs.join(named, "c", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("k")).otherwise(F.col("component")).alias("component_id"), F.col("c").alias("class_id"))
+    return comps
 
 
 def _mixed(rows: DataFrame, comps: DataFrame | None, most: int | None) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KNOWN, SPACE_BYTES, chunks, components, lists, mapped, merged, mix, prefix_sums, range_hash, stash
+from .common import KNOWN, SPACE_BYTES, chunks, components, lists, mapped, merged, mix, prefix_sums, range_hash, scratch, stash
 
 EDITS, MIN_CHARS = 2, 30
 #: Edits grow as the square root of the length over this, so that the rows grow as the text.
@@ -587,7 +587,8 @@ def dedup_lines(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: s
     kind = df.schema[key].dataType.simpleString()
     own = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.xxhash64("k", "text").alias("r"), "k", "text")
     where = stash(spark, mapped(own, _lines(short), f"r bigint, k {kind}, lines array<bigint>, places array<int>"))
-    comps = line_classes(spark, own, where)
+    with scratch(spark) as keep:
+        comps = keep(line_classes(spark, own, where))
     places = where.select("r", "k", F.explode(F.arrays_zip("lines", "places")).alias("x")).select("r", "k", F.col("x.lines").alias("line"), F.col("x.places").alias("place"))
     # lines that occur once and resemble none stay
     doubtful = places.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")

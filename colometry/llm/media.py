@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, mapped
 
 #: Magic bytes, their place in the file, and the media type they announce.
 MAGIC = (
@@ -245,7 +245,7 @@ def sniff_media(df: DataFrame, key: str, media: str, declared: str) -> DataFrame
             inner = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], inner)], names=[key, "declared", "media_type", "corrected", "embedded"])
 
-    return df.select(key, media, declared).mapInArrow(run, f"`{key}` {kind}, {SNIFFED}")
+    return mapped(df.select(key, media, declared), run, f"`{key}` {kind}, {SNIFFED}")
 
 
 # ---------------------------------------------------------------- texts as samples
@@ -307,4 +307,4 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {TEXT_MEDIA}")
+    return mapped(df.select(key, text), run, f"`{key}` {kind}, {TEXT_MEDIA}")

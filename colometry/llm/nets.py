@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, fold32, lowered, mix, prefix_sums, range_hash, spans
+from .common import chunks, fold32, lowered, mapped, mix, prefix_sums, range_hash, spans
 
 # ---------------------------------------------------------------- shared: Adam
 
@@ -193,7 +193,7 @@ def predict_language(spark: SparkSession, df: DataFrame, net: ByteNet | None, ke
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names), pa.array(scores)], names=[key, "lang_pred", "score"])
 
     has = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return df.select(F.col(key), has.alias("has"), F.col(text).alias("t")).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    return mapped(df.select(F.col(key), has.alias("has"), F.col(text).alias("t")), run, f"`{key}` {kind}, lang_pred string, score double")
 
 
 # ---------------------------------------------------------------- toxicity: words
@@ -203,6 +203,8 @@ BUCKETS, WORD_DIM, WORD_FILTERS, WORD_WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 BEGINNINGS = (4, 5)
 #: Labelled documents taken to fit, for each of the two labels, and the bytes of text they may have together.
 TOXIC_SAMPLE, TOXIC_BYTES = 1500, 24 << 20
+#: Characters that a labelled document gives.
+TOXIC_CHARS = 20_000
 THRESHOLD = 0.3
 
 
@@ -340,9 +342,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     some = marks.where(u < F.when(F.col("y") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0]))).dropDuplicates(["k"])
     some = some.orderBy("k").limit(4 * sample)  # 2 * sample rows in expectation
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null")
-    rows = own.join(F.broadcast(some), "k").select("k", "y", "l", "t")
+    # a long text gives the part of it that begins at a place named by its id; an id that recurs gives one text
+    start = F.pmod(F.xxhash64("k", F.lit(19)), F.greatest(F.length("t") - TOXIC_CHARS, F.lit(0)) + 1).cast("int") + 1
+    rows = own.join(F.broadcast(some), "k").select("k", "y", "l", F.substring("t", start, F.lit(TOXIC_CHARS)).alias("t")).groupBy("k").agg(F.min(F.struct("t", "l", "y")).alias("r")).select("k", "r.*")
     taken, room = [], TOXIC_BYTES
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r.k, r.t)):
+    for r in sorted(rows.collect(), key=lambda r: (r.k, r.t)):  # 4 * sample rows of TOXIC_CHARS characters at most
         raw = np.frombuffer(r.t.encode(), np.uint8)
         if len(raw) <= room:
             room -= len(raw)
@@ -381,5 +385,5 @@ def score_toxicity(spark: SparkSession, df: DataFrame, net: WordNet | None, key:
             yield pa.RecordBatch.from_arrays(out, names=[key, "score", "predicted", "predicted_lang"][: len(out)])
 
     if lang is not None:
-        return df.select(key, text, F.col(lang).alias("l")).mapInArrow(run, f"`{key}` {kind}, score double, predicted int, predicted_lang int")
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
+        return mapped(df.select(key, text, F.col(lang).alias("l")), run, f"`{key}` {kind}, score double, predicted int, predicted_lang int")
+    return mapped(df.select(key, text), run, f"`{key}` {kind}, score double, predicted int")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, lists, mapped, prefix_sums, range_hash, signed, spans, stash, word_hashes
+from .common import chunks, gram_hashes, lists, mapped, prefix_sums, range_hash, scratch, signed, spans, stash, word_hashes
 
 WINDOW, ANCHOR = 35, 8
 _REACH = WINDOW - ANCHOR + 1
@@ -140,20 +140,8 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("c").take(rows), pa.array(spots, spot)], names=["a", "c", "spot"])
 
 
-DEDUPED = "n_words bigint, n_removed bigint, kept_sha256 string, kept string"
-
-
-def remove_repeats(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
-    """key, n_words, n_removed, kept_sha256, kept (words left, joined by one blank; null without with_text): one row for each row of df.
-
-    A word is removed if a window over it recurs anywhere in the input, its own text included; windows are
-    judged on the input. Null and empty texts have no word. Repeated rows count as documents of their own,
-    so all their windows recur. Word sequences are compared by 64-bit hashes (single words by 40 bits where
-    eight words before already agree).
-    """
-    kind = df.schema[key].dataType.simpleString()
-    own = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.xxhash64("k", "text").alias("r"), "k", "text")
-    occurrences = stash(spark, mapped(own.select("r", "text"), _occurrences, "a bigint, c bigint, r bigint, lo int, hi int"))
+def _located(spark: SparkSession, own: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """(a, c, spot): for each different context the places, in words, of phrases that recur."""
     contexts = occurrences.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("r", "lo", "hi")).alias("at"))
     often = contexts.groupBy("a").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
     repeated = contexts.join(often, "a")
@@ -174,7 +162,25 @@ def remove_repeats(spark: SparkSession, df: DataFrame, key: str = "doc_id", text
     phrase = found.join(spread, "a", "left").withColumn("m", F.coalesce("m", F.lit(1))).select("a", F.lit(None).cast("bigint").alias("c"), "chars", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
     context = edges.select("a", "c", "chars", F.pmod(F.xxhash64("c"), F.ceil(F.col("kinds") / SPREAD).cast("int")).cast("int").alias("x"))
     dealt = phrase.union(context).withColumn("shard", F.pmod(F.xxhash64("a", "x"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", F.col("c").isNotNull())
-    located = stash(spark, mapped(dealt, _locate, "a bigint, c bigint, spot struct<lo:int,hi:int>").distinct())
+    return stash(spark, mapped(dealt, _locate, "a bigint, c bigint, spot struct<lo:int,hi:int>").distinct())
+
+
+DEDUPED = "n_words bigint, n_removed bigint, kept_sha256 string, kept string"
+
+
+def remove_repeats(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+    """key, n_words, n_removed, kept_sha256, kept (words left, joined by one blank; null without with_text): one row for each row of df.
+
+    A word is removed if a window over it recurs anywhere in the input, its own text included; windows are
+    judged on the input. Null and empty texts have no word. Repeated rows count as documents of their own,
+    so all their windows recur. Word sequences are compared by 64-bit hashes (single words by 40 bits where
+    eight words before already agree).
+    """
+    kind = df.schema[key].dataType.simpleString()
+    own = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.xxhash64("k", "text").alias("r"), "k", "text")
+    occurrences = stash(spark, mapped(own.select("r", "text"), _occurrences, "a bigint, c bigint, r bigint, lo int, hi int"))
+    with scratch(spark) as keep:
+        located = keep(_located(spark, own, occurrences))
     covered = occurrences.join(located, ["a", "c"]).select("r", F.struct((F.col("lo") + F.col("spot.lo")).alias("lo"), (F.col("lo") + F.col("spot.hi")).alias("hi")).alias("x"))
     cover = covered.groupBy("r").agg(F.collect_set("x").alias("cover"))
 

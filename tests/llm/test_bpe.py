@@ -45,7 +45,7 @@ def test_as_the_public_library(own, theirs):
 
 
 def test_a_full_cache_starts_anew(own, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 700)
     one = [own[x] for x in ("aa", "bb", "cc", "dd", "ee", "aa")]
     assert one[0] == one[-1]
 
