@@ -206,6 +206,8 @@ TOXIC_SAMPLE, TOXIC_BYTES = 1500, 24 << 20
 #: Characters that a labelled document gives.
 TOXIC_CHARS = 20_000
 THRESHOLD = 0.3
+#: Share of words that are blank in a training step, so that no document is known by one of its words.
+WORD_DROPOUT = 0.5
 
 
 def _letters() -> np.ndarray:
@@ -234,7 +236,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class WordNet:
     def __init__(self, seed: int = 5) -> None:
         rng, f32 = np.random.default_rng(seed), np.float32
-        self.p = {"E": rng.normal(0, 0.1, (BUCKETS + 1, WORD_DIM)).astype(f32), "O": rng.normal(0, 0.3, WORD_FILTERS * len(WORD_WIDTHS)).astype(f32), "o": np.zeros(1, f32)}
+        self.p = {"E": rng.normal(0, 0.02, (BUCKETS + 1, WORD_DIM)).astype(f32), "O": rng.normal(0, 0.3, WORD_FILTERS * len(WORD_WIDTHS)).astype(f32), "o": np.zeros(1, f32)}
         for w in WORD_WIDTHS:
             self.p[f"W{w}"] = rng.normal(0, 1 / np.sqrt(WORD_DIM), (w, WORD_DIM, WORD_FILTERS)).astype(f32)
             self.p[f"b{w}"] = np.zeros(WORD_FILTERS, f32)
@@ -274,6 +276,7 @@ class WordNet:
             for i in range(0, len(order), batch):
                 own = [texts[j] for j in order[i : i + batch]]
                 f = np.concatenate([x for x, _ in own])
+                f[rng.random(len(f)) < WORD_DROPOUT] = -1
                 places = np.concatenate([[0], np.cumsum([len(x) for x, _ in own])])
                 h, at, e = self.pooled(f, places, True)
                 act = np.maximum(h, 0)
