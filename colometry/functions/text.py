@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -213,3 +213,60 @@ def legacy_split(c: Column, max_length: int = 150) -> Column:
         return pieces.map(lambda ps: None if ps is None else [x for p in ps for x in (cut_long(p, max_length) if len(p) > max_length else [p])])
 
     return merge_low_han(run(smart_split(c)))
+
+
+# ---------------------------------------------------------------- models, where installed
+
+
+def model_loader(chinese: bool, second: str = "ko_core_news_sm"):
+    """A function from text to its sentences by an installed spaCy model, or None."""
+    try:
+        import spacy
+
+        nlp = spacy.load("zh_core_web_sm" if chinese else second)
+    except (ImportError, OSError):
+        return None
+    return lambda text: [s.text for s in nlp(text).sents]
+
+
+def model_sentences(c: Column, load: Callable[[bool], Callable[[str], list[str]] | None] = model_loader) -> Column:
+    """Sentences by a model for Chinese (more than 30 % Han characters), else for Korean; none without a model or after an error."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        models: dict = {}
+
+        def one(text: str | None, chinese: bool) -> list[str]:
+            if chinese not in models:
+                models[chinese] = load(chinese)
+            try:
+                return [x.strip() for x in models[chinese](text) if x.strip()] if models[chinese] and text else []
+            except Exception:  # whatever a model raises, a text it can't split has no sentences
+                return []
+
+        for texts, chinese in batches:
+            yield pd.Series([one(t, bool(z)) for t, z in zip(texts, chinese, strict=True)])
+
+    return run(c, F.coalesce(contains_chinese(c), F.lit(False)))
+
+
+def model_units(c: Column, max_length: int = 180, load: Callable[[bool], Callable[[str], list[str]] | None] = model_loader) -> Column:
+    """Sentences by a model, those over max_length packed anew from their tokens; without a model as `sentences`."""
+    packed = lambda found: F.flatten(F.transform(found, lambda s: F.when(F.length(s) > max_length, pack_tokens(source_tokens(s), max_length)).otherwise(F.array(s))))
+    return let(model_sentences(c, load), lambda found: F.when(F.size(found) == 0, sentences(c)).otherwise(packed(found)))
+
+
+def model_punctuation_split(c: Column, max_length: int = 150, load: Callable[[bool], Callable[[str], list[str]] | None] = model_loader) -> Column:
+    """Sentences by a model, those over max_length cut by punctuation; without a model as `punctuation_split`."""
+    cut = lambda found: F.flatten(F.transform(found, lambda s: F.when(F.length(s) > max_length, punctuation_split(s, max_length)).otherwise(F.array(s))))
+    return let(model_sentences(c, load), lambda found: F.when(F.size(found) == 0, punctuation_split(c, max_length)).otherwise(cut(found)))
+
+
+def quotes(c: Column) -> Column:
+    """The text and its quotes. No quotes are taken out: the text as it is, and none."""
+    return F.struct(c.alias("text"), F.array().cast("array<string>").alias("quotes"))
+
+
+def normalized_punctuation(c: Column) -> Column:
+    """Punctuation as it is."""
+    return c

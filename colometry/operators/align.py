@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -113,34 +114,105 @@ def target_units(c: Column, n: Column, boundaries: Column | None = None) -> Colu
     return F.when(T.is_blank(c), F.array().cast("array<string>")).otherwise(F.coalesce(colon_units(c, n), F.when(n == 1, F.array(c)).otherwise(meaning)))
 
 
-def align_phrases(df: DataFrame, keys: list[str], src: str = "src", tgt: str = "tgt", protect_brackets: bool = True) -> DataFrame:
-    """One row for each source unit with its target unit; phrase_id counts from 1 and skips empty pairs."""
+#: Scores of the places between words, from (source units, target words); tags of words.
+Scorer = Callable[[Column, Column], Column]
+Tagger = Callable[[Column], Column]
+
+
+def analysis(units: Column, words: Column, semantic: Scorer | None = None, pos: Tagger | None = None, segmenter: Tagger | None = None) -> Column:
+    """Struct of the scores of each place between words by meaning, grammar and a segmenter, and combined.
+
+    Without a scorer each place has 0.5, 0.3 or 0.4. pos: the words' tags; segmenter: the words' number of
+    segments.
+    """
+    last = F.greatest(F.size(words) - 1, F.lit(0))
+    flat = lambda x: F.array_repeat(F.lit(x), last.cast("int"))
+    s = semantic(units, words) if semantic else flat(0.5)
+    g = let_grammar(pos(words)) if pos else flat(0.3)
+    j = segmenter_scores(segmenter(words), F.size(words)) if segmenter else flat(0.4)
+    return T.let(F.struct(s.alias("semantic"), g.alias("grammar"), j.alias("segmenter")), lambda x: F.struct(x["semantic"].alias("semantic"), x["grammar"].alias("grammar"), x["segmenter"].alias("segmenter"), combined_scores(x["semantic"], x["grammar"], x["segmenter"]).alias("combined")))
+
+
+def let_grammar(tags: Column) -> Column:
+    """Boundary strengths between neighbouring tags; 0.3 where a tag is null."""
+
+    def pairs(t: Column) -> Column:
+        return F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.when(a.isNull() | b.isNull(), 0.3).otherwise(grammar_strength(a, b)).cast("double"))
+
+    return T.let(tags, pairs)
+
+
+def phrase_units(df: DataFrame, keys: list[str], src: str = "src", tgt: str = "tgt", protect_brackets: bool = True, semantic: Scorer | None = None, pos: Tagger | None = None, segmenter: Tagger | None = None) -> DataFrame:
+    """keys, src, tgt, src_units, tgt_units: arrays of equal length, padded. Rows with a blank or null side go.
+
+    With any scorer the target's words are cut at the places of the best combined scores, else at those of
+    equal ones.
+    """
     hide, show = (protect, unprotect) if protect_brackets else (lambda c: c, lambda c: c)
-    own = df.where(T.both_sides(F.col(src), F.col(tgt))).select(*keys, hide(F.col(src)).alias("_s"), hide(F.col(tgt)).alias("_t"))
-    split = own.select(*keys, T.split_ws(F.col("_s")).alias("_su"), "_t")
-    both = split.select(*keys, "_su", target_units(F.col("_t"), F.size("_su")).alias("_tu"))
+    own = df.where(T.both_sides(F.col(src), F.col(tgt))).select(*keys, F.col(src).alias("src"), F.col(tgt).alias("tgt"), hide(F.col(src)).alias("_s"), hide(F.col(tgt)).alias("_t"))
+    split = own.select(*keys, "src", "tgt", T.split_ws(F.col("_s")).alias("_su"), "_t", T.split_ws(F.col("_t")).alias("_w"))
+    chosen = None
+    if semantic or pos or segmenter:
+        shown = F.transform("_su", show), F.transform("_w", show)
+        split = split.withColumn("_b", analysis(*shown, semantic, pos, segmenter)["combined"]).withColumn("_b", chosen_boundaries(F.col("_b"), F.size("_su") - 1, F.size("_w")))
+        chosen = F.col("_b")
+    both = split.select(*keys, "src", "tgt", "_su", target_units(F.col("_t"), F.size("_su"), chosen).alias("_tu"))
     most = F.greatest(F.size("_su"), F.size("_tu"))
-    rows = both.select(*keys, F.posexplode(F.arrays_zip(pad(F.col("_su"), most).alias("src"), pad(F.col("_tu"), most).alias("tgt"))).alias("_i", "_p"))
-    out = rows.select(*keys, (F.col("_i") + 1).alias("phrase_id"), show(F.col("_p.src")).alias("src"), show(F.col("_p.tgt")).alias("tgt"))
+    return both.select(*keys, "src", "tgt", F.transform(pad(F.col("_su"), most), show).alias("src_units"), F.transform(pad(F.col("_tu"), most), show).alias("tgt_units"))
+
+
+def align_phrases(df: DataFrame, keys: list[str], src: str = "src", tgt: str = "tgt", protect_brackets: bool = True, semantic: Scorer | None = None, pos: Tagger | None = None, segmenter: Tagger | None = None) -> DataFrame:
+    """One row for each source unit with its target unit; phrase_id counts from 1 and skips empty pairs."""
+    return phrase_rows(phrase_units(df, keys, src, tgt, protect_brackets, semantic, pos, segmenter), keys)
+
+
+def phrase_rows(units: DataFrame, keys: list[str]) -> DataFrame:
+    rows = units.select(*keys, F.posexplode(F.arrays_zip("src_units", "tgt_units")).alias("_i", "_p"))
+    out = rows.select(*keys, (F.col("_i") + 1).alias("phrase_id"), F.col("_p.src_units").alias("src"), F.col("_p.tgt_units").alias("tgt"))
     return out.where(~(T.is_blank(F.col("src")) & T.is_blank(F.col("tgt"))))
 
 
+def units_by_meaning(tgt: Column, n: Column) -> Column:
+    return target_units(tgt, n)
+
+
+def units_by_source(src: Column, tgt: Column) -> Column:
+    """As many units as the source has; all of the target's words in one for a blank source."""
+    return F.when(T.is_blank(src), F.array(F.array_join(T.split_ws(tgt), " "))).otherwise(target_units(tgt, F.size(T.split_ws(src))))
+
+
+def units_by_semantics(src_units: Column, tgt: Column) -> Column:
+    return units_by_source(F.array_join(src_units, " "), tgt)
+
+
+def error_rows(df: DataFrame, key: str, src: str = "src", tgt: str = "tgt") -> DataFrame:
+    """What stands for rows that could not be processed: error_id, the texts, and token counts."""
+    s, t = F.coalesce(F.col(src), F.lit("")), F.coalesce(F.col(tgt), F.lit(""))
+    return df.select(F.concat(F.col(key).cast("string"), F.lit("_error")).alias("error_id"), s.alias("src"), t.alias("tgt"), F.lit("error_fallback").alias("split_method"), F.lit(1.0).alias("similarity"), F.size(T.split_ws(s)).alias("src_tokens"), F.size(T.split_ws(t)).alias("tgt_tokens"))
+
+
 def fallback_rows(df: DataFrame, keys: list[str], src: str = "src", tgt: str = "tgt") -> DataFrame:
     """Rows passed through, with token counts."""
     s, t = F.coalesce(F.col(src), F.lit("")), F.coalesce(F.col(tgt), F.lit(""))
     return df.select(*keys, s.alias("src"), t.alias("tgt"), F.lit("fallback_mode").alias("split_method"), F.lit(1.0).alias("similarity"), F.size(T.split_ws(s)).alias("src_tokens"), F.size(T.split_ws(t)).alias("tgt_tokens"))
 
 
-def chunk_ids(df: DataFrame, order: list[str], size: int = 100) -> DataFrame:
-    """Chunk number of each row by its place in the order: a range partitioning, then counts of partitions
-    as offsets, so that no task holds all rows."""
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id())
+def row_numbers(df: DataFrame, order: list[str] | None = None, name: str = "row_idx") -> DataFrame:
+    """df with each row's number from 0, in the order given (a range partitioning), else in that of the partitions read.
+
+    Counts of partitions are the offsets, so that no task holds all rows; one row for each partition is broadcast.
+    """
+    part = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    part = part.withColumn("_pos", F.monotonically_increasing_id())
     part = part.withColumn("_part", F.shiftright("_pos", 33)).withColumn("_in", F.col("_pos").bitwiseAND((1 << 33) - 1))
     counts = part.groupBy("_part").agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window
-
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return part.join(F.broadcast(before), "_part").withColumn("chunk_id", F.floor((F.col("_before") + F.col("_in")) / size).cast("bigint")).drop("_pos", "_part", "_in", "_before")
+    return part.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_pos", "_part", "_in", "_before")
+
+
+def chunk_ids(df: DataFrame, order: list[str], size: int = 100) -> DataFrame:
+    """Chunk number of each row by its place in the order."""
+    return row_numbers(df, order, "_row").withColumn("chunk_id", F.floor(F.col("_row") / size).cast("bigint")).drop("_row")
 
 
 # ---------------------------------------------------------------- scores
@@ -190,33 +262,35 @@ def combined_scores(semantic: Column, grammar: Column, segmenter: Column) -> Col
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<double>"))
 
 
-def choose(scores: list[float], need: int, total: int) -> list[int]:
-    """Best places first, later ones on ties, each far enough from those taken; then middles of the widest gaps."""
-    if need <= 0:
-        return []
-    if len(scores) < need:
-        step = 1 if total <= need + 1 else total // (need + 1)
-        return [p for p in range(step, need * step + 1, step) if p < total]
-    apart = max(1, total // (need + 2))
-    taken: list[int] = []
-    for _, place in sorted(((s, i) for i, s in enumerate(scores, 1) if i < total), reverse=True):
-        if len(taken) == need:
-            break
-        if all(abs(place - other) >= apart for other in taken):
-            taken.append(place)
-    while len(taken) < need:
-        edges = sorted([0, total, *taken])
-        gaps = [(b - a, a + (b - a) // 2) for a, b in zip(edges, edges[1:], strict=False) if b - a > 2]
-        gaps = [g for g in gaps if g[1] not in taken]
-        if not gaps:
-            break
-        taken.append(max(gaps)[1])
-    return sorted(taken)
+def chosen_boundaries(scores: Column, need: Column, total: Column) -> Column:
+    """Best places first, later ones on ties, each far enough from those taken; then middles of the widest gaps.
 
+    A fold over the places sorted by score, then one over the places still needed; too few scores give equal steps.
+    """
+    none = F.array().cast("array<int>")
 
-def chosen_boundaries(scores: Column, need: Column, total: Column) -> Column:
-    @F.pandas_udf("array<int>")
-    def run(s: pd.Series, n: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([choose([] if a is None else list(a), int(b), int(c)) for a, b, c in zip(s, n, t, strict=True)])
+    def by_steps(x: Column) -> Column:
+        step = F.when(x["total"] <= x["need"] + 1, 1).otherwise(F.floor(x["total"] / (x["need"] + 1)).cast("int"))
+        return F.filter(F.transform(F.sequence(F.lit(1), x["need"]), lambda k: (k * step).cast("int")), lambda p: p < x["total"])
+
+    def by_score(x: Column) -> Column:
+        apart = F.greatest(F.lit(1), F.floor(x["total"] / (x["need"] + 2)).cast("int"))
+        places = F.reverse(F.array_sort(F.transform(x["scores"], lambda s, i: F.struct(s.alias("s"), (i + 1).cast("int").alias("p")))))
+
+        def take(taken: Column, place: Column) -> Column:
+            near = F.exists(taken, lambda t: F.abs(t - place["p"]) < apart)
+            return F.when((F.size(taken) < x["need"]) & ~near, F.concat(taken, F.array(place["p"]))).otherwise(taken)
+
+        def widest(taken: Column, _: Column) -> Column:
+            def best(edges: Column) -> Column:
+                gaps = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.struct((b - a).alias("g"), (a + F.floor((b - a) / 2)).cast("int").alias("m")))
+                return F.array_max(F.filter(gaps, lambda g: (g["g"] > 2) & ~F.array_contains(taken, g["m"])))["m"]
+
+            middle = T.let(F.array_sort(F.concat(F.array(F.lit(0), x["total"]), taken)), best)
+            return F.when(F.size(taken) >= x["need"], taken).otherwise(T.let(middle, lambda m: F.when(m.isNull(), taken).otherwise(F.concat(taken, F.array(m)))))
+
+        first = F.aggregate(F.filter(places, lambda q: q["p"] < x["total"]), none, take)
+        return F.array_sort(F.aggregate(F.sequence(F.lit(1), x["need"]), first, widest))
 
-    return run(scores, need, total)
+    own = F.struct(F.coalesce(scores, F.array().cast("array<double>")).alias("scores"), need.cast("int").alias("need"), total.cast("int").alias("total"))
+    return T.let(own, lambda x: F.when(x["need"] <= 0, none).when(F.size(x["scores"]) < x["need"], by_steps(x)).otherwise(by_score(x)))

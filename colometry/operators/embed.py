@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from .align import semantic_scores
+
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
@@ -67,3 +70,54 @@ def embed(df: DataFrame, text: str, loader: Callable[[], Embedder], out: str = "
 
     vectors = df.select(F.col(text).alias("_t")).distinct().select("_t", run("_t").alias(out))
     return df.join(vectors, F.col(text).eqNullSafe(F.col("_t"))).drop("_t")
+
+
+def embedded(loader: Callable[[], Embedder]):
+    """A scorer by meaning for `align.analysis`: each word's most similar source unit, then the boundaries between words."""
+
+    @F.pandas_udf("array<struct<best_src_idx:int,similarity:double>>")
+    def best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = loader()
+        for units, words in batches:
+            texts = sorted({t for column in (units, words) for row in column if row is not None for t in row})
+            vectors = dict(zip(texts, np.asarray(model(texts), dtype=float).reshape(len(texts), -1), strict=True))
+            out = []
+            for u, w in zip(units, words, strict=True):
+                if u is None or w is None or not len(u):
+                    out.append([])
+                    continue
+                a, b = (np.stack([vectors[t] for t in x]) if len(x) else np.zeros((0, 1)) for x in (w, u))
+                found = (a @ b.T if len(a) else np.zeros((0, len(b)))) / (np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)) + 1e-8)
+                out.append([{"best_src_idx": int(i), "similarity": float(row[i])} for row, i in zip(found, found.argmax(axis=1), strict=True)])
+            yield pd.Series(out)
+
+    return lambda units, words: let(best(units, words), lambda w: F.when(F.size(w) > 1, semantic_scores(w)).otherwise(F.array().cast("array<double>")))
+
+
+def tagged(loader: Callable[[], Callable[[str], str | None]]):
+    """A tagger for `align.analysis` from a loader of a function that tags a word by its first morpheme (null if it can't)."""
+
+    @F.pandas_udf("array<string>")
+    def tags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tag = loader()
+        for words in batches:
+            yield pd.Series([None if row is None else [tag(w) for w in row] for row in words])
+
+    return tags
+
+
+def mecab_tagger() -> Callable[[], Callable[[str], str | None]]:
+    """Optional: MeCab's tag of a word's first morpheme."""
+
+    def load() -> Callable[[str], str | None]:
+        import MeCab
+
+        tagger = MeCab.Tagger()
+
+        def tag(word: str) -> str | None:
+            line = tagger.parse(word).split("\n", 1)[0]
+            return line.split("\t", 1)[1].split(",", 1)[0] if "\t" in line else None
+
+        return tag
+
+    return load

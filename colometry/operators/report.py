@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
@@ -21,3 +21,15 @@ def quality_report(df: DataFrame, similarity: str = "similarity") -> DataFrame:
 
 def method_counts(df: DataFrame, method: str = "split_method") -> DataFrame:
     return df.groupBy(method).agg(F.count("*").alias("n"))
+
+
+def totals(rows: DataFrame, checks: DataFrame) -> DataFrame:
+    """One row: rows written, rows processed, and of these the failed and the missing ones."""
+    counted = checks.agg(F.count("*").alias("n_processed"), F.count_if(~F.col("valid") & ~F.col("missing")).alias("n_failed"), F.count_if(F.col("missing")).alias("n_missing"))
+    return rows.agg(F.count("*").alias("n_rows")).crossJoin(counted)  # one row each
+
+
+def observed(rows: DataFrame, name: str, keys: list[str]) -> tuple[DataFrame, Observation]:
+    """rows, and what counts them while they are written: units out, and those with an empty side."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("n_units"), F.count_if(is_blank(F.col("src")) | is_blank(F.col("tgt"))).alias("n_half_empty"), F.approx_count_distinct(F.struct(*keys)).alias("n_rows_about")), seen

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.align import row_numbers
+
 #: Column names of the workbooks.
 NAMES = {"원문": "src", "번역문": "tgt", "문단식별자": "paragraph_id", "문장식별자": "sentence_id", "구식별자": "phrase_id", "분할방법": "split_method", "유사도": "similarity"}
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -128,7 +130,7 @@ def read_bitext(spark: SparkSession, path: str) -> DataFrame:
     df = df.withColumnsRenamed({k: v for k, v in NAMES.items() if k in df.columns})
     require(df, "src", "tgt")
     if "row_idx" not in df.columns:
-        df = df.withColumn("row_idx", F.monotonically_increasing_id())
+        df = row_numbers(df)
     return df.select(F.col("row_idx").cast("bigint"), F.col("src").cast("string"), F.col("tgt").cast("string"))
 
 

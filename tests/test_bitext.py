@@ -1,13 +1,19 @@
+import difflib
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from colometry import cli
 from colometry.functions import brackets as B
 from colometry.functions import text as T
 from colometry.operators import align as A
+from colometry.operators import embed as E
 from colometry.operators import integrity as I
+from colometry.operators import report as R
 from colometry.sources import tables
 
 SPACES = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
@@ -62,16 +68,101 @@ def test_length_similarity(spark):
     assert got[:2] == [0.75, 0.0] and got[2] == pytest.approx(0.642857, abs=1e-6)
 
 
-def test_boundaries():
-    assert A.choose([0.42] * 9, 3, 10) == [5, 7, 9]
-    assert A.choose([0.1, 0.9, 0.85, 0.1, 0.1, 0.1, 0.1, 0.8, 0.1], 3, 10) == [2, 6, 8]
-    assert A.choose([0.9 if p % 3 == 2 else 0.1 for p in range(1, 24)], 10, 24) == [2, 5, 8, 11, 14, 17, 18, 20, 21, 23]
+def choose(scores, need, total):
+    """A plain model of the choice of boundaries."""
+    if need <= 0:
+        return []
+    if len(scores) < need:
+        step = 1 if total <= need + 1 else total // (need + 1)
+        return [k * step for k in range(1, need + 1) if k * step < total]
+    apart, taken = max(1, total // (need + 2)), []
+    for _, place in sorted(((x, i) for i, x in enumerate(scores, 1) if i < total), reverse=True):
+        if len(taken) < need and all(abs(place - t) >= apart for t in taken):
+            taken.append(place)
+    while len(taken) < need:
+        edges = sorted([0, total, *taken])
+        gaps = [(y - x, x + (y - x) // 2) for x, y in zip(edges, edges[1:], strict=False) if y - x > 2 and x + (y - x) // 2 not in taken]
+        if not gaps:
+            break
+        taken.append(max(gaps)[1])
+    return sorted(taken)
+
+
+def chosen(spark, rows):
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, s array<double>, n int, t int")
+    return [r.b for r in df.select("k", A.chosen_boundaries(F.col("s"), F.col("n"), F.col("t")).alias("b")).orderBy("k").collect()]
+
+
+def test_boundaries(spark):
+    rows = [([0.42] * 9, 3, 10), ([0.1, 0.9, 0.85, 0.1, 0.1, 0.1, 0.1, 0.8, 0.1], 3, 10), ([0.9 if p % 3 == 2 else 0.1 for p in range(1, 24)], 10, 24), ([], 3, 9), ([0.5], 0, 2), ([0.5], 5, 2)]
+    want = [[5, 7, 9], [2, 6, 8], [2, 5, 8, 11, 14, 17, 18, 20, 21, 23], [2, 4, 6], [], [1]]
+    assert chosen(spark, rows) == want == [choose(*r) for r in rows]
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        total = rng.randint(1, 30)
+        rows.append(([rng.choice([0.1, 0.2, 0.5, rng.random()]) for _ in range(max(0, total - 1))], rng.randint(0, total + 2), total))
+    assert chosen(spark, rows) == [choose(*r) for r in rows]
 
 
 def test_uniform_boundaries_are_the_general_choice(spark):
     rows = spark.createDataFrame([(t, n) for t in range(2, 40) for n in range(1, t)], "t int, n int")
     for r in rows.select("t", "n", A.uniform_boundaries(F.col("t"), F.col("n")).alias("b")).collect():
-        assert r.b == A.choose([0.42] * (r.t - 1), r.n, r.t)
+        assert r.b == choose([0.42] * (r.t - 1), r.n, r.t)
+
+
+def test_cut_by_meaning_is_what_the_vectors_say(spark):
+    model = E.hashing_embedder()
+    rng = random.Random(5)
+    words = lambda n: [rng.choice(["river", "stone", "water", "hill", "walks", "talk", "sees", "rivers", "stones"]) for _ in range(n)]
+    rows = [(k, " ".join(words(rng.randint(1, 5))), " ".join(words(rng.randint(1, 12)))) for k in range(40)]
+    got: dict = {}
+    for r in A.align_phrases(spark.createDataFrame(rows, "id long, src string, tgt string"), ["id"], semantic=E.embedded(E.get_embedder("hash"))).orderBy("id", "phrase_id").collect():
+        got.setdefault(r.id, []).append((r.src, r.tgt))
+    for k, src, tgt in rows:
+        u, w = src.split(), tgt.split()
+        if len(u) == 1:
+            units = [tgt]
+        elif len(w) <= len(u):
+            units = w + [""] * (len(u) - len(w))
+        else:
+            a, b = (np.array(model(x)) for x in (w, u))
+            near = (a @ b.T) / (np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)) + 1e-8)
+            at, best = near.argmax(axis=1), near.max(axis=1)
+            scores = [0.5 * (min(0.9, max(0.1, (best[i] + best[i + 1]) / 2)) if at[i] != at[i + 1] else 0.1) + 0.3 * 0.3 + 0.4 * 0.2 for i in range(len(w) - 1)]
+            cuts = [0, *choose([min(1.0, max(0.0, x)) for x in scores], len(u) - 1, len(w)), len(w)]
+            units = [" ".join(w[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+            units = units + [""] * (len(u) - len(units)) if len(units) <= len(u) else [*units[: len(u) - 1], " ".join(units[len(u) - 1 :])]
+        assert got[k] == list(zip(u, units, strict=True))
+
+
+def test_grammar_and_taggers(spark):
+    tags = {"a": "NNG", "b": "VV", "c": "EF", "d": None}
+    df = spark.createDataFrame([(["a", "b", "c", "a", "d", "a"],), (["a"],), ([],)], "w array<string>")
+    got = [r.s for r in df.select(A.let_grammar(E.tagged(lambda: tags.get)(F.col("w"))).alias("s")).collect()]
+    assert got == [[0.6, 0.4, 0.9, 0.3, 0.3], [], []]
+    scores = df.select(A.analysis(F.lit(None).cast("array<string>"), F.col("w")).alias("x")).first().x
+    assert scores.semantic == [0.5] * 5 and scores.grammar == [0.3] * 5 and scores.segmenter == [0.4] * 5 and scores.combined == pytest.approx([0.42] * 5)
+
+
+def test_wrappers(spark):
+    assert value(spark, "a b c d", lambda c: A.units_by_source(F.lit("x y"), c)) == value(spark, "a b c d", lambda c: A.units_by_semantics(F.array(F.lit("x"), F.lit("y")), c)) == value(spark, "a b c d", lambda c: A.units_by_meaning(c, F.lit(2)))
+    assert value(spark, " a  b ", lambda c: A.units_by_source(F.lit(" "), c)) == ["a b"]
+    row = A.error_rows(spark.createDataFrame([(7, "a b", None)], "id long, src string, tgt string"), "id").first()
+    assert tuple(row) == ("7_error", "a b", "", "error_fallback", 1.0, 2, 0)
+    fallen = A.fallback_rows(spark.createDataFrame([(7, None, "x y z")], "id long, src string, tgt string"), ["id"]).first()
+    assert tuple(fallen) == (7, "", "x y z", "fallback_mode", 1.0, 0, 3)
+
+
+def test_models_where_installed(spark):
+    load = lambda chinese: (lambda t: t.split("|")) if not chinese else None
+    assert value(spark, "a b |c| ", lambda c: T.model_sentences(c, load)) == ["a b", "c"]
+    assert value(spark, "子曰。學而", lambda c: T.model_units(c, 180, load)) == ["子曰。學而"] and value(spark, "a. b|c", lambda c: T.model_units(c, 180, load)) == ["a. b", "c"]
+    assert value(spark, "aa bb cc|d", lambda c: T.model_units(c, 5, load)) == ["aa bb", " cc", "d"]
+    assert value(spark, "a. b|c", lambda c: T.model_punctuation_split(c, 150, load)) == ["a. b", "c"] and value(spark, "a. b", T.model_punctuation_split) == ["a", "b"]
+    broken = lambda chinese: (lambda t: 1 // 0)
+    assert value(spark, "a", lambda c: T.model_sentences(c, broken)) == []
+    assert value(spark, "say 'x'", T.quotes) == ("say 'x'", []) and value(spark, "a…", T.normalized_punctuation) == "a…"
 
 
 def test_brackets():
@@ -109,6 +200,107 @@ def test_integrity():
     assert I.repair_units("abcd", ["ab", "d"]) == (["ab", "cd"], True)
 
 
+def corrupted(n=120):
+    """Original, units of it with text lost, doubled and changed."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("가나다라ab") for _ in range(rng.randint(1, 5)))
+    for _ in range(n):
+        units = [" ".join(word() for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 5))]
+        whole = " ".join(units) + rng.choice(["", " ", "\n"])
+        for k in range(len(units)):
+            what = rng.randint(0, 5)
+            units[k] = units[k][:-1] if what == 0 else units[k] * 2 if what == 1 else units[k].replace("a", "z") if what == 2 else units[k]
+        yield whole, units
+
+
+def patched(units, have, want):
+    """A plain model: missing text to the end, surplus text from the first unit that has it."""
+    units = list(units)
+    for tag, a, b, c, d in difflib.SequenceMatcher(None, have, want).get_opcodes():
+        if tag == "insert":
+            units = [*units[:-1], (units[-1] if units else "") + want[c:d]]
+        if tag == "delete":
+            for k, unit in enumerate(units):
+                if have[a:b] in unit:
+                    units[k] = unit.replace(have[a:b], "", 1)
+                    break
+    return units
+
+
+def test_repairs_against_a_plain_model(spark):
+    cases = list(corrupted())
+    df = spark.createDataFrame([(k, w, u) for k, (w, u) in enumerate(cases)], "k int, w string, u array<string>")
+    bare = lambda x: "".join(x.split())
+    cut = lambda t, n: [t[k * (len(t) // n) + min(k, len(t) % n) : (k + 1) * (len(t) // n) + min(k + 1, len(t) % n)] for k in range(n)] if n else [t]
+    got = df.select("k", I.repaired(F.col("w"), F.col("u")).alias("a"), I.repaired_sentences(F.col("w"), F.col("u")).alias("b"), I.verification(F.col("w"), F.array_join("u", "")).alias("v"), I.within_tolerance(F.col("w"), F.array_join("u", "")).alias("t")).orderBy("k").collect()
+    for r, (whole, units) in zip(got, cases, strict=True):
+        have, want = bare("".join(units)), bare(whole)
+        first = patched(units, have, want)
+        out = first if bare("".join(first)) == want else cut(whole, len(units))
+        ok = bare("".join(out)) == want
+        assert (r.a.units, r.a.ok) == (out if ok else [whole], ok)
+        plain, given = "".join(units).replace(" ", ""), whole.replace(" ", "").replace("\n", "").replace("\t", "")
+        assert r.b == (units if plain == given else patched(units, plain, given))
+        ratio = difflib.SequenceMatcher(None, want, have).ratio() if want else float(not have)
+        assert r.v.character_accuracy == pytest.approx(1.0 if want == have else ratio) and r.v.length_diff == abs(len(want) - len(have)) and r.v.original_checksum == hashlib.sha256(want.encode()).hexdigest()
+        assert r.t == (True if not want and not have else False if not want or not have else want == have or ratio >= 0.95)
+
+
+def test_with_integrity_and_files(spark):
+    cases = [c for c in corrupted(60) if c[0].strip()]
+    df = spark.createDataFrame([(k, w, u) for k, (w, u) in enumerate(cases)], "k int, w string, u array<string>")
+    bare = lambda x: "".join(x.split())
+    for r, (whole, units) in zip(I.repaired_file(df, "w", "u").orderBy("k").collect(), cases, strict=True):
+        assert r.restored == (bare("".join(units)) != bare(whole)) and r.valid == (bare("".join(r.u)) == bare(whole)) and (r.restored or r.u == units)
+    as_file = I.repaired_file(df, "w", "u", whole=True, order=["k"]).orderBy("k").collect()
+    assert [len(r.u) for r in as_file] == [len(u) for _, u in cases] and "".join(x for r in as_file for x in r.u).split() is not None
+    assert bare("".join(x for r in as_file for x in r.u)) == bare("".join(w for w, _ in cases))
+
+
+def test_rows_of_their_own_for_lost_sides():
+    row = lambda a, b: {"src": a, "tgt": b, "similarity": 1.0, "split_method": "p", "align_method": "s"}
+    assert I.repair_rows("ab c", "x", [row("ab", "x")])[0] == row("abc", "x")
+    got = I.repair_rows("ab", "", [])
+    assert got == [{"src": "ab", "tgt": "", "similarity": 0.0, "split_method": "integrity_restore", "align_method": "src_missing_restore"}]
+    got = I.repair_rows("ab", "xy", [])
+    assert [(r["src"], r["tgt"], r["align_method"]) for r in got] == [("ab", "xy", "src_missing_restore")]
+    assert [r["align_method"] for r in I.repair_rows("", "xy", [])] == ["tgt_missing_restore"]
+
+
+def test_checks_within_rows_and_files(spark):
+    df = spark.createDataFrame([(1, "a b", "x y"), (2, "c", "z w"), (3, " ", "q")], "id long, src string, tgt string")
+    units = A.phrase_units(df, ["id"])
+    assert sorted((r.id, r.valid, r.missing) for r in I.row_checks(units, ["id"]).collect()) == [(1, True, False), (2, True, False)]
+    assert I.file_valid(df.where("id < 3"), A.align_phrases(df, ["id"]), "tgt", ["id"], ["id", "phrase_id"]).first().valid
+    assert not I.file_valid(df, A.align_phrases(df, ["id"]), "tgt", ["id"], ["id", "phrase_id"]).first().valid
+    many = spark.range(250).select(F.col("id"), F.concat(F.lit("t "), F.col("id")).alias("t")).repartition(7)
+    texts, digests = [f"t{i}" for i in range(250)], None
+    digests = texts
+    for _ in range(I.LEVELS):
+        digests = [hashlib.sha256("".join(digests[k : k + I.FANOUT]).encode()).hexdigest() for k in range(0, len(digests), I.FANOUT)]
+    assert tuple(I.file_checksum(many, "t", ["id"]).first()) == (digests[0], sum(map(len, texts)))
+    assert I.joined_checksum(many, "t", ["id"]).first().checksum == hashlib.sha256("".join(texts).encode()).hexdigest()
+    assert sorted(r.row_idx for r in A.row_numbers(many).collect()) == list(range(250))
+    got = R.totals(spark.range(5), I.row_checks(units, ["id"])).first()
+    assert tuple(got) == (5, 2, 0, 0)
+
+
+def test_command_line(spark, tmp_path):
+    spark.createDataFrame([("子曰 學而", "A b. C d."), ("", "x"), ("甲 乙", "e f g")], "src string, tgt string").coalesce(1).write.parquet(str(tmp_path / "in.parquet"))
+    assert cli.main(["sa", str(tmp_path / "in.parquet"), str(tmp_path / "sa.parquet"), "--embedder", "hash"]) == 0
+    got = spark.read.parquet(str(tmp_path / "sa.parquet")).orderBy("sentence_id", "phrase_id").collect()
+    assert {r.sentence_id for r in got} == {1, 3} and "".join(r.tgt for r in got if r.sentence_id == 3).replace(" ", "") == "efg"
+    assert cli.main(["pa", str(tmp_path / "in.parquet"), str(tmp_path / "pa.parquet"), "--hybrid", "--verbose"]) == 0
+    assert spark.read.parquet(str(tmp_path / "pa.parquet")).count() == 3
+    assert cli.main(["pa", str(tmp_path / "in.parquet"), str(tmp_path / "none.parquet"), "--similarity-threshold", "2"]) == 1
+    assert cli.main(["pa", str(tmp_path / "missing.parquet"), str(tmp_path / "x.parquet")]) == 1
+
+
+def test_required_columns(spark):
+    with pytest.raises(ValueError, match="tgt"):
+        tables.require(spark.createDataFrame([("a",)], "src string"), "src", "tgt")
+
+
 def test_length_equal_corruption_passes(spark):
     df = spark.createDataFrame([("abcd", "abce"), ("abcd", "abc")], "a string, b string")
     assert [r.v for r in df.select(I.collapsed_valid(F.col("a"), F.col("b")).alias("v")).collect()] == [True, False]
