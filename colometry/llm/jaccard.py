@@ -37,8 +37,8 @@ GRAM, TENTHS = 5, 8
 FREQUENT, OFTEN, TOKEN_BUFFER = 1 << 16, 8, 1 << 21
 #: Tokens used in the first round; partners that a component names in a group of the first and of the second round.
 FIRST_TOKENS, PARTNERS = 4, (2, 1)
-#: Members of a group that are compared in one task, and tokens of their sets in a cluster; larger ones are compared by pairs of blocks.
-BLOCK, BLOCK_TOKENS = 2048, 1 << 19
+#: Members of a group, and of a cluster, that are compared in one task, and tokens of their sets in a cluster; larger ones are compared by pairs of blocks.
+BLOCK, CLUSTER_BLOCK, BLOCK_TOKENS = 2048, 512, 1 << 19
 LEAF = 16
 #: Pairs that a tree gives at once.
 STEP = 1 << 17
@@ -421,7 +421,7 @@ def _clusters(spark: SparkSession, members: DataFrame, rows: DataFrame, comps: D
     if stars.isEmpty():
         return spark.createDataFrame([], "cluster bigint, part bigint, c bigint, comp bigint")
     own = placed(components(spark, stars).select(F.col("node").alias("c"), F.col("component").alias("cluster"))).join(rows.select("c", "n"), "c")
-    sizes = own.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("m"))
+    sizes = own.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CLUSTER_BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("m"))
     return _blocks(own.join(sizes, "cluster")).select("cluster", "part", "c", "comp")
 
 
