@@ -48,17 +48,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where there is one machine, an unset one is set to a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where there is one machine, a folder of our own stands for an unset one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="colometry-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN_DIR:
+            _OWN_DIR.append(tempfile.mkdtemp(prefix="colometry-"))
+        found = _OWN_DIR[0]
     return found.rstrip("/")
 
 
+#: The folder of local mode, once made.
+_OWN_DIR: list[str] = []
+
+
 #: Paths stashed since each open `scratch` began.
 _SCRATCH: list[list[str]] = []
 

@@ -219,7 +219,10 @@ def _letters() -> np.ndarray:
 
 
 def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets (words x 1 + beginnings) of all words, two blank rows (-1) after each text, and each text's bounds among them."""
+    """Buckets (words x 1 + beginnings) of all words, two blank rows (-1) before each text, and each text's bounds among them.
+
+    So a filter that begins in a text ends in it, or in the blank rows of the next one.
+    """
     low = np.where(_letters()[lowered(data)], lowered(data), 32).astype(np.uint8)
     starts, ends, own = spans(low, bounds)
     sums, size = prefix_sums(low), ends - starts
@@ -229,7 +232,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     hashed = (np.stack(cols, axis=1) % np.uint64(BUCKETS)).astype(np.int32)
     places = own + 2 * np.arange(len(own))
     out = np.full((len(hashed) + 2 * (len(own) - 1), hashed.shape[1]), -1, dtype=np.int32)
-    out[np.arange(len(hashed)) + 2 * np.repeat(np.arange(len(own) - 1), np.diff(own))] = hashed
+    out[np.arange(len(hashed)) + 2 * np.repeat(np.arange(1, len(own)), np.diff(own))] = hashed
     return out, places
 
 
@@ -290,7 +293,7 @@ class WordNet:
                     grads[f"b{w}"] = g.sum(0)
                     dw = np.zeros_like(self.p[f"W{w}"])
                     for k in range(w):
-                        seen = np.minimum(at[j] + k, len(f) - 1)
+                        seen = np.where(at[j] + k < len(f), at[j] + k, 0)  # row 0 is blank
                         dw[k] = np.einsum("tfd,tf->df", e[seen], g)
                         de = (g[:, :, None] * self.p[f"W{w}"][k].T[None]).reshape(-1, WORD_DIM)
                         for c in range(f.shape[1]):

@@ -99,21 +99,19 @@ def test_repeated_ids_in_labels(spark):
     assert np.mean([got[i] for i in range(0, 40, 2)]) > np.mean([got[i] for i in range(1, 40, 2)])
 
 
-def test_folder_is_read_from_the_session(spark, tmp_path):
+def test_stashed_files_go(spark):
+    import os
+
     from colometry.llm import common
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        with common.scratch(spark) as keep:
-            gone = common.stash(spark, spark.range(3))
-            kept = keep(common.stash(spark, gone.where("id > 0")))
-        assert kept.count() == 2 and [p.name for p in tmp_path.iterdir() if p.name.startswith("stash")] == [kept._stash.rsplit("/", 1)[1]]
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+    folder = common.shared_dir(spark).removeprefix("file:")
+    assert folder.endswith((spark.conf.get("spark.checkpoint.dir", None) or folder).removeprefix("file:").rstrip("/"))
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with common.scratch(spark) as keep:
+        gone = common.stash(spark, spark.range(3))
+        kept = keep(common.stash(spark, gone.where("id > 0")))
+    assert kept.count() == 2
+    assert {x for x in set(os.listdir(folder)) - before if x.startswith("stash")} == {kept._stash.rsplit("/", 1)[1]}
 
 
 def test_rows_beside_each_other_do_not_matter(spark):
