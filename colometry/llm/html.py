@@ -13,7 +13,7 @@ The time is linear in the page's length, whatever it holds.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -92,8 +92,8 @@ class Page:
         self.heads: list[Frame] = []
         self.depth = {"article": 0, "main": 0, "a": 0}
         self.begun: list[int] = []  # texts before each open article or main
-        self.open_names: Counter = Counter()
-        self.scopes: list[Counter] = [Counter()]  # the same since the last element that other end tags don't reach beyond
+        self.open_names: dict[str, int] = defaultdict(int)
+        self.scopes: list[dict[str, int]] = [defaultdict(int)]  # the same since the last element that other end tags don't reach beyond
         self.texts = self.last = 0
         self.none_left = {'"': len(html) + 1, "'": len(html) + 1}
         self.run()
@@ -106,7 +106,7 @@ class Page:
                 end = html.find(">", at)
                 if end < 0:
                     return -1
-            quote = _QUOTED.search(html, at, end)
+            quote = _QUOTED.search(html, at, end) if end > at else None
             if not quote:
                 return end + 1
             mark = quote[1]
@@ -134,14 +134,18 @@ class Page:
                 self.text(html[at : i + 1])
                 at = i + 1
                 continue
-            end = self.tag_end(m.end())
+            after = m.end()
+            end = after + 1 if html[after : after + 1] == ">" else self.tag_end(after)
             if end < 0:
                 break
-            self.text(html[at:i])
+            if i > at:
+                self.text(html[at:i])
             at = end
-            self.tag(m[2].lower(), bool(m[1]), html[m.end() : end - 1])
-            if not m[1] and self.stack and self.stack[-1].name in RAW and m[2].lower() == self.stack[-1].name:
-                stop = re.compile(rf"</{re.escape(m[2])}[\s/>]|</{re.escape(m[2])}\Z", re.I).search(html, at)
+            closes, name = m.groups()
+            name = name.lower()
+            self.tag(name, bool(closes), html[after : end - 1])
+            if not closes and name in RAW and self.stack and name == self.stack[-1].name:
+                stop = re.compile(rf"</{re.escape(name)}[\s/>]|</{re.escape(name)}\Z", re.I).search(html, at)
                 at = stop.start() if stop else n
         self.text(html[at:])
         while self.stack:
@@ -179,7 +183,7 @@ class Page:
     def imply(self, name: str) -> None:
         """Closes an open p, or the open peers, that this start tag ends."""
         peers, scope = PEERS.get(name, ()), SCOPE.get(name, ())
-        if any(self.scopes[-1][x] or self.open_names[x] for x in peers):
+        if peers and any(map(self.open_names.__getitem__, peers)):
             at = None
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i].name in scope:
@@ -219,7 +223,7 @@ class Page:
         self.open_names[name] += 1
         self.scopes[-1][name] += 1
         if name in _BARS:
-            self.scopes.append(Counter())
+            self.scopes.append(defaultdict(int))
         if head:
             self.heads.append(frame)
         if name in self.depth:
@@ -246,7 +250,8 @@ class Page:
         if own.saved is not None:
             self.heads.pop()
         digest = xxhash.xxh3_64_hexdigest(f"{name}\0{chr(31).join(own.parts)}".encode("utf-8", "surrogatepass"))
-        shape = xxhash.xxh3_64_hexdigest(f"{name}\0{''.join(own.shape)}")
+        # only links have use for it, and what holds plain text is in no such subtree
+        shape = "" if own.plain else xxhash.xxh3_64_hexdigest(f"{name}\0{''.join(own.shape)}")
         dropped = own.dropped
         if name in BLOCK:
             self.out.append("\n")
