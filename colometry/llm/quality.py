@@ -115,18 +115,18 @@ def posterior(bad: np.ndarray, good: np.ndarray, share: np.ndarray, chance: np.n
 
 
 def goodness(names: list[str], share: np.ndarray, chance: np.ndarray, junk: np.ndarray) -> Column:
-    """The posterior probability of no junk, from columns v_<rule>."""
-    logs = []
-    for z in range(len(share)):
-        terms = [F.get(F.array(*[F.lit(float(x)) for x in (0.0, np.log(c), np.log1p(-c))]), F.col(f"v_{k}") + 1) for k, c in zip(names, chance[z], strict=True)]
-        total = F.lit(float(np.log(share[z])))
-        for t in terms:
-            total = total + t
-        logs.append(total)
-    most = F.greatest(*logs)
-    weights = [F.exp(x - most) for x in logs]
-    total = sum(weights[1:], weights[0])
-    return sum((w for w, z in zip(weights, junk, strict=True) if not z), F.lit(0.0)) / total
+    """The posterior probability of no junk, from columns v_<rule>: a row of logarithms for each class, of which the votes pick theirs."""
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in (np.log(s), *(y for c in row for y in (0.0, np.log(c), np.log1p(-c))))]) for s, row in zip(share, chance, strict=True)])
+    picked = F.array(*[F.col(f"v_{k}") + (3 * i + 2) for i, k in enumerate(names)])
+    good = F.array(*[F.lit(float(not z)) for z in junk])
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+    logs = F.transform(table, lambda row: F.aggregate(picked, F.get(row, F.lit(0)), lambda acc, i: acc + F.get(row, i)))
+
+    def share_of_good(own: Column) -> Column:
+        weights = F.transform(own, lambda x: F.exp(x - F.array_max(own)))
+        return total(F.zip_with(weights, good, lambda w, g: w * g)) / total(weights)
+
+    return F.get(F.transform(F.array(logs), share_of_good), F.lit(0))
 
 
 def judge(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
