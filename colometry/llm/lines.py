@@ -44,6 +44,8 @@ PAIRS, BINS = 512, 64
 SMALL, STEP = 64, 1 << 19
 #: Lines to verify, or places of lines to remove, that may be broadcast (about 8 bytes each); beyond, documents are shuffled and joined.
 BROADCAST = 2_000_000
+#: Bytes of text whose rows, some 30 a line, are made at once.
+ROWS_BYTES = 1 << 20
 #: Bytes of text for each bucket of index and probe rows; a task holds the rows of one bucket.
 BUCKET_BYTES = 8 << 20
 
@@ -209,7 +211,7 @@ def long_lines(data: np.ndarray, bounds: np.ndarray, short: bool = False) -> tup
 def _lines(short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes and places of each document's long lines, or of all with a word."""
-        for rows, data, bounds in chunks(batches, "text"):
+        for rows, data, bounds in chunks(batches, "text", ROWS_BYTES):
             begin, stop, _, _, doc = long_lines(data, bounds, short)
             raw = data.tobytes()
             own = np.array([line_hash(raw[a:b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], np.int64)
@@ -248,7 +250,7 @@ def _keys(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        for n, (_, data, bounds) in enumerate(chunks(batches, "text")):
+        for n, (_, data, bounds) in enumerate(chunks(batches, "text", ROWS_BYTES)):
             begin, stop, lo, hi, _ = long_lines(data, bounds)
             raw = data.tobytes()
             ids, at = [], []
