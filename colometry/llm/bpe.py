@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import chunks, mapped
 
 L, N, S, O = range(4)
-#: Bytes of a worker's cache of merged slices (about 200 an entry beside its text); a full cache starts anew, results don't depend on it.
-CACHE_BYTES, ENTRY_BYTES = 24 << 20, 200
+#: Bytes of a worker's cache of merged slices (about 200 an entry beside its text). A half that is full gives way to
+#: a new one, which takes over what is asked for again; results don't depend on it.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
 #: Bytes of text whose slices are held at once.
 SLICED_BYTES = 1 << 20
 #: Unicode's White_Space, fixed values.
@@ -87,22 +88,23 @@ class Coder(dict):
     """Slices to packed ids (little-endian unsigned 32-bit), filled on demand."""
 
     def __init__(self, vocabulary: bytes) -> None:
-        self.held = 0
+        self.held, self.old = 0, {}
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
         self.pieces = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
 
     def __missing__(self, slice_: str) -> bytes:
-        raw = slice_.encode("utf-8")
-        whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else self.merge(raw)
-        packed = np.array(ids, dtype="<u4").tobytes()
-        if len(raw) <= 256:
-            self.held += ENTRY_BYTES + 2 * len(raw)
-            if self.held > CACHE_BYTES:
+        packed, size = self.old.get(slice_), len(slice_)
+        if packed is None:
+            raw = slice_.encode("utf-8")
+            whole, size = self.ranks.get(raw), len(raw)
+            packed = np.array([whole] if whole is not None else self.merge(raw), dtype="<u4").tobytes()
+        if size <= 256:
+            self.held += ENTRY_BYTES + 2 * size
+            if 2 * self.held > CACHE_BYTES:
+                self.old, self.held = dict(self), 0
                 self.clear()
-                self.held = 0
             self[slice_] = packed
         return packed
 
