@@ -3,11 +3,11 @@
 A window is WINDOW consecutive words; it recurs if its word sequence starts at two places of the corpus.
 Confirming: each window names an anchor, the 8-gram of least hash in it, so equal windows name equal
 anchors and about 7 % of the places need to be compared. The windows that name one anchor occurrence make
-its context. Only contexts whose anchor occurs twice are looked at, each different one once. One that is met
-twice and is its anchor's only one is a phrase as a whole; in the others single windows are counted, and
+its context. Only contexts whose anchor occurs twice are looked at. An anchor's only context, met twice, recurs as a whole
+wherever it was met, as no other text can have a part of it. Where an anchor has several contexts their single windows are counted, and
 neighbours that always follow each other make a phrase, taken from one of the contexts that have it.
 Locating: the phrases are compiled into sharded Aho-Corasick automata, dealt by anchor, and the documents stream
-through: every context (each different one once, a word being two characters of 20 bits) through the automaton of
+through: every context of such an anchor (each different one once, a word being two characters of 20 bits) through the automaton of
 its anchor, the only one that can have a phrase of it. The hits are the only record of what recurs where: a phrase is compiled
 from one occurrence, and the others are found by the automaton.
 """
@@ -77,8 +77,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, c, n, kinds, hashes of the windows, characters) of the listed contexts of each text; no hashes where
-    the anchor has no other context."""
+    """(a, c, n, kinds, hashes of the windows, characters) of the listed contexts of each text."""
     for rows, data, bounds in chunks(batches, "text"):
         starts, ends, own = spans(data, bounds)
         words = word_hashes(data, starts, ends)
@@ -87,7 +86,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, listed in enumerate(rows.column("listed").to_pylist()):
             for x in listed:
                 lo, hi = own[i] + x["lo"], own[i] + x["hi"]
-                at = np.arange(lo, hi + 1) if x["kinds"] > 1 else np.zeros(0, np.int64)
+                at = np.arange(lo, hi + 1)
                 for column, value in zip(out, (x["a"], x["c"], x["n"], x["kinds"], range_hash(sums, at, at + WINDOW), _characters(words[lo : hi + WINDOW])), strict=True):
                     column.append(value)
         sizes = np.concatenate([[0], np.cumsum([len(x) for x in out[4]])]).astype(np.int64)
@@ -144,25 +143,25 @@ def _located(spark: SparkSession, own: DataFrame, occurrences: DataFrame) -> Dat
     """(a, c, spot): for each different context the places, in words, of phrases that recur."""
     contexts = occurrences.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("r", "lo", "hi")).alias("at"))
     often = contexts.groupBy("a").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    repeated = contexts.join(often, "a")
-    listed = repeated.groupBy("at.r").agg(F.collect_list(F.struct("a", "c", "n", "kinds", "at.lo", "at.hi")).alias("listed"))
+    repeated = stash(spark, contexts.join(often, "a").where("n > 1 or kinds > 1"))
+    listed = repeated.where("kinds > 1").groupBy("at.r").agg(F.collect_list(F.struct("a", "c", "n", "kinds", "at.lo", "at.hi")).alias("listed"))
     edges = stash(spark, mapped(own.select("r", "text").join(listed, "r").select("text", "listed"), _contexts, "a bigint, c bigint, n bigint, kinds bigint, windows array<bigint>, chars string").dropDuplicates(["a", "c"]))
     # windows with those next to them; 0 beyond the context, whose ends its words decide
-    windows = edges.where("kinds > 1").select("a", "c", "n", "windows", F.posexplode("windows").alias("p", "w"))
+    windows = edges.select("a", "c", "n", "windows", F.posexplode("windows").alias("p", "w"))
     beside = lambda step: F.coalesce(F.get("windows", F.col("p") + step), F.lit(0)).alias
     windows = windows.select("n", "w", F.struct("a", "c", "p").alias("first"), beside(1)("then"), beside(-1)("before"))
     single = lambda x: (F.min(x) == F.max(x)).alias(x)
     recurring = windows.groupBy("w").agg(F.sum("n").alias("n"), F.min("first").alias("first"), single("then"), single("before")).where("n > 1")
     taken = recurring.groupBy(F.col("first.a").alias("a"), F.col("first.c").alias("c")).agg(F.collect_list(F.struct("first.p", "then", "before")).alias("windows"))
     parts = mapped(edges.select("a", "c", "chars").join(taken, ["a", "c"]).select("a", "windows", "chars"), _phrases, "a bigint, chars string")
-    found = edges.where("kinds = 1").select("a", "chars").union(parts)
     # a frequent anchor's contexts go to several shards, its phrases to each of them
     shards = max(1, edges.count() // SHARD)
     spread = edges.where(f"kinds > {SPREAD}").groupBy("a").agg(F.ceil(F.max("kinds") / SPREAD).cast("int").alias("m"))
-    phrase = found.join(spread, "a", "left").withColumn("m", F.coalesce("m", F.lit(1))).select("a", F.lit(None).cast("bigint").alias("c"), "chars", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
+    phrase = parts.join(spread, "a", "left").withColumn("m", F.coalesce("m", F.lit(1))).select("a", F.lit(None).cast("bigint").alias("c"), "chars", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"))
     context = edges.select("a", "c", "chars", F.pmod(F.xxhash64("c"), F.ceil(F.col("kinds") / SPREAD).cast("int")).cast("int").alias("x"))
     dealt = phrase.union(context).withColumn("shard", F.pmod(F.xxhash64("a", "x"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", F.col("c").isNotNull())
-    return stash(spark, mapped(dealt, _locate, "a bigint, c bigint, spot struct<lo:int,hi:int>").distinct())
+    alone = repeated.where("kinds = 1").select("a", "c", F.struct(F.lit(0).alias("lo"), (F.col("at.hi") - F.col("at.lo") + WINDOW).cast("int").alias("hi")).alias("spot"))
+    return stash(spark, mapped(dealt, _locate, "a bigint, c bigint, spot struct<lo:int,hi:int>").distinct().union(alone))
 
 
 DEDUPED = "n_words bigint, n_removed bigint, kept_sha256 string, kept string"
