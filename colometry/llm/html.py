@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped
+from .common import mapped, scratch, stash
 
 #: A subtree is template if it occurs with so many different articles of the host, mostly apart from their text, or outside the article with so many.
 LEAST_PAGES, LEAST_OUTSIDE = 4, 2
+#: Pages with templates whose hashes (8 bytes each) may be broadcast; beyond, the pages are shuffled and joined.
+BROADCAST = 500_000
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _QUOTED = re.compile(r"""=\s*(["'])""")
@@ -354,8 +356,8 @@ def page_templates(pages: DataFrame) -> DataFrame:
                     column += values
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.bool_()) for x in out[3:])], names=["page", "mark", "subtree", "outside", "apart", "live"])
 
-    # read twice: parsing again costs less than the disk of keeping it
-    seen = mapped(pages, run, "page bigint, mark bigint, subtree bigint, outside boolean, apart boolean, live boolean")
+    # read twice: a few numbers for each subtree cost less than parsing again
+    seen = stash(pages.sparkSession, mapped(pages, run, "page bigint, mark bigint, subtree bigint, outside boolean, apart boolean, live boolean"))
     counts = seen.groupBy("subtree", "mark").agg(*[F.max(c).cast("int").alias(c) for c in ("outside", "apart")]).groupBy("subtree").agg(F.count("*").alias("n"), F.sum("outside").alias("out"), F.sum("apart").alias("apart"))
     often = counts.where(f"n >= {LEAST_PAGES} and 2 * apart >= n or out >= {LEAST_OUTSIDE}").select("subtree")
     return seen.where("live").select("page", "subtree").join(often, "subtree").groupBy("page").agg(F.collect_set("subtree").alias("template"))
@@ -376,5 +378,9 @@ def extract_main(pages: DataFrame, key: str = "page_id", url: str = "url", html:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, "url", "text", "n_chars"])
 
     own = pages.select(F.col(key), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host")).withColumn("page", F.xxhash64("host", "html"))
-    joined = own.drop("host").join(page_templates(own.select("page", "host", "html")), "page", "left").select(key, "url", "html", host_of("url").alias("host"), "template")
+    with scratch(pages.sparkSession) as keep:
+        templates = keep(stash(pages.sparkSession, page_templates(own.select("page", "host", "html"))))
+    if templates.count() <= BROADCAST:
+        templates = F.broadcast(templates)
+    joined = own.drop("host").join(templates, "page", "left").select(key, "url", "html", host_of("url").alias("host"), "template")
     return mapped(joined, run, f"`{key}` {kind}, url string, text string, n_chars bigint")
