@@ -9,10 +9,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.align import row_numbers
 
@@ -88,6 +89,35 @@ class XlsxSource(DataSource):
         return XlsxReader(self.options["path"], len(schema.fields) - 1)
 
 
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """row_idx and the columns of the first sheet's header, all text, from one workbook or several of one header
+    in any file system that Spark reads; a task for each workbook. Rows of several count on in the order of their paths."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"names": [[str(c) for c in next(parse_xlsx(raw), [])] for raw in batch["content"]]})
+
+    found = files.limit(1).mapInPandas(header, "names array<string>").first()
+    names = found.names if found else []
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, raw in zip(batch["path"], batch["content"], strict=True):
+                data = parse_xlsx(raw)
+                next(data, None)
+                cells = [(path, k, *(row + [None] * len(names))[: len(names)]) for k, row in enumerate(data)]
+                yield pd.DataFrame(cells, columns=["_path", "_k", *names])
+
+    schema = StructType([StructField("_path", StringType()), StructField("_k", LongType()), *(StructField(n, StringType()) for n in names)])
+    out = files.mapInPandas(rows, schema)
+    return row_numbers(out, ["_path", "_k"]).drop("_path", "_k")
+
+
+#: Rows that a sheet holds, its header included.
+SHEET_ROWS = 1_048_576
+
+
 def write_xlsx(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """One sheet, inline strings, no index; rows go through the driver one partition at a time."""
     rows = (df.orderBy(*order) if order else df).toLocalIterator()
@@ -106,6 +136,8 @@ def write_xlsx(df: DataFrame, path: str, order: list[str] | None = None) -> None
             f.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{main}/spreadsheetml/2006/main"><sheetData>'.encode())
             f.write(line(list(df.columns), 1).encode())
             for n, row in enumerate(rows, 2):
+                if n > SHEET_ROWS:
+                    raise ValueError(f"a sheet holds {SHEET_ROWS} rows; write another format")
                 f.write(line(list(row), n).encode())
             f.write(b"</sheetData></worksheet>")
 
@@ -121,8 +153,7 @@ def read_bitext(spark: SparkSession, path: str) -> DataFrame:
     """(row_idx, src, tgt) from xlsx, parquet, csv, json or orc; either language's column names."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "xlsx":
-        spark.dataSource.register(XlsxSource)
-        df = spark.read.format("xlsx").option("path", path).load()
+        df = read_xlsx(spark, path)
     elif kind == "csv":
         df = spark.read.csv(path, header=True, multiLine=True, escape='"')
     else:

@@ -311,6 +311,15 @@ def test_xlsx_round_trip(spark, tmp_path):
     tables.write_xlsx(rows.select(F.col("src").alias("원문"), F.col("tgt").alias("번역문")), str(tmp_path / "a.xlsx"))
     got = tables.read_bitext(spark, str(tmp_path / "a.xlsx")).orderBy("row_idx").collect()
     assert [tuple(r) for r in got] == [(0, "子曰 <&>", "A. B."), (1, None, " x\ny ")]
+    spark.dataSource.register(tables.XlsxSource)
+    assert spark.read.format("xlsx").option("path", str(tmp_path / "a.xlsx")).load().count() == 2
+
+
+def test_a_sheet_has_its_limit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "SHEET_ROWS", 3)
+    tables.write_xlsx(spark.range(2), str(tmp_path / "a.xlsx"))
+    with pytest.raises(ValueError, match="sheet"):
+        tables.write_xlsx(spark.range(3), str(tmp_path / "b.xlsx"))
 
 
 def test_catalogue_runs(spark):
