@@ -62,7 +62,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join), ("mix_sources", mix_sources), ("byte_bpe", byte_bpe)]
 
-#: Sampling by hash, a fitted posterior and BPE aren't SQL; tests compare the stages with brute force.
+#: Sampling by hash, a fitted posterior and BPE aren't SQL; tests compare the stages with brute force, the posterior's verdict with the operator's.
 ORACLE_SQL = None
 
 
