@@ -71,10 +71,12 @@ _SCRATCH: list[list[str]] = []
 def stash(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors.
 
-    The files go when the `scratch` around it ends, else when the application does.
+    The files go when the `scratch` around it ends, else when the application does. The shuffle files of
+    the write go at its end, not when the driver happens to collect its garbage, so they don't add up.
     """
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     where, files = _files(spark, path)
     files.deleteOnExit(where)
     for paths in _SCRATCH:
@@ -84,6 +86,23 @@ def stash(spark: SparkSession, df: DataFrame) -> DataFrame:
     return out
 
 
+#: Spark's setting by which a query's shuffle files are removed as it ends. A write is a query of its own, which nothing runs again.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
+
+
 def _files(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

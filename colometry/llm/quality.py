@@ -11,6 +11,8 @@ corroborates is taken to misfire, and its vote alone rejects nothing.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,16 +39,18 @@ FIRES, LIFT, CORROBORATED = 0.2, 5, 2
 _SPACE = r"[\x20\x09-\x0D]"
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and the counts that the rules use, all long; a null text has no word and no line.
+def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", row: Sequence[str] = ()) -> DataFrame:
+    """key and the counts that the rules use, all long; a null text has no word and no line. row: columns that come along, in a struct _row.
 
     n_repeat_words: words covered by windows of 5 words that occur twice or more in the text. Windows
     are 64-bit hashes; a text whose windows all differ needs no more, else they are sorted with their
     places, so the cost is n log n in the text's length.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = docs.select(F.col(key), t.alias("t")).select(
+    along = ["_row"] if row else []
+    base = docs.select(F.col(key), t.alias("t"), *[F.struct(*row).alias(x) for x in along]).select(
         key,
+        *along,
         F.expr(r"filter(split(t, '[\\x20\\x09-\\x0D]+'), x -> x <> '')").alias("w"),
         (F.length("t") - F.regexp_count("t", F.lit(_SPACE))).cast("bigint").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
@@ -64,6 +68,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     covered = "aggregate(p, struct(0 as n, 0 as upto), (a, i) -> struct(a.n + i + 5 - greatest(i, a.upto) as n, i + 5 as upto), a -> a.n)"
     return places.select(
         key,
+        *along,
         F.expr("cast(size(h) as bigint)").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -129,18 +134,18 @@ def goodness(names: list[str], share: np.ndarray, chance: np.ndarray, junk: np.n
     return F.get(F.transform(F.array(logs), share_of_good), F.lit(0))
 
 
-def judge(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept.
+def judge(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", row: Sequence[str] = ()) -> DataFrame:
+    """key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept; with row also _row, a struct of these columns of docs.
 
     quality is the posterior probability of a good document; base_failed overrules it. An empty table
     gives no rows. A null text has no words, so it fails the base. Repeated rows count, and are judged, each; extra
     columns don't matter, whatever their names.
     """
-    measured = stash(spark, measure(docs, key, text))
+    measured = stash(spark, measure(docs, key, text, row))
     names = list(RULES)
     votes = measured.select("*", *[vote(k).alias(f"v_{k}") for k in names])
     seen = votes.groupBy(*[f"v_{k}" for k in names]).agg(F.count("*").alias("n")).collect()  # bounded by 3**len(RULES)
     share, chance, junk = estimate(np.array([[r[f"v_{k}"] for k in names] for r in seen], int).reshape(-1, len(names)), np.array([r.n for r in seen], float))
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    judged = votes.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), goodness(names, share, chance, junk).alias("quality"))
+    judged = votes.select(key, *(["_row"] if row else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), goodness(names, share, chance, junk).alias("quality"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT))
