@@ -12,7 +12,9 @@ class; of a class the first line, by document and place, stays and every other g
 
 Links that would join what is joined already need no check. A quarter of the keys is enough to join most
 copies: there each component of a group names one partner, so a group of m lines makes m pairs at most.
-Lines that some key then still holds with a possible partner of another component form clusters by these keys.
+Lines that some key then still holds with a possible partner of another component are looked at more closely: an edit
+changes four bigrams at most, so parities of bigrams, 256 bits a line, tell near copies from lines that share a phrase by
+chance, which the more lines have the larger a table is. Those that are left form clusters by these keys.
 A cluster's texts are sent once to each pair of its blocks, where all pairs that lengths and characters
 allow are verified, many at once, unless joined meanwhile; what comes back is a spanning forest, again
 no more than the members.
@@ -40,6 +42,8 @@ CHARS = 8
 FIRST_KEYS, BLOCK, CLUSTER_BLOCK = 4, 2048, 512
 #: Pairs of lines verified at once, and bins of characters that are counted before.
 PAIRS, BINS = 512, 64
+#: Words of 64 bits, and so bins, of the parities of bigrams.
+SIGN_WORDS, SIGN_BINS = 4, 256
 #: Rows of a group whose pairs are listed together with those of other groups, and pairs listed at once.
 SMALL, STEP = 64, 1 << 19
 #: Lines to verify, or places of lines to remove, that may be broadcast (about 8 bytes each); beyond, documents are shuffled and joined.
@@ -445,11 +449,50 @@ def _best(group: np.ndarray, line: np.ndarray, comp: np.ndarray, i: np.ndarray,
 
 
 def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, line) of rows with a possible partner of another component in their group."""
+    """(key, line, tag) of rows with a possible partner of another component in their group."""
     for table, cut in _whole(batches):
         seen = np.zeros(table.num_rows, bool)
         for p, q, _ in _possible(table, cut):
             seen[p] = seen[q] = True
+        if seen.any():
+            own = pa.array(np.flatnonzero(seen))
+            yield pa.RecordBatch.from_arrays([table.column(x).combine_chunks().take(own) for x in ("key", "line", "tag")], names=["key", "line", "tag"])
+
+
+def signs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and in SIGN_WORDS words whether the number of bigrams in each bin is odd. An edit changes four bins at most."""
+    lines = [points(t) for t in texts]
+    size = np.array([len(x) for x in lines], np.int64)
+    odd = np.zeros((len(lines), SIGN_BINS), bool)
+    for k, x in enumerate(lines):
+        pairs = (x[:-1] * np.uint32(2654435761) ^ x[1:]) * np.uint32(2246822519)
+        odd[k] = np.bincount(pairs >> np.uint32(24), minlength=SIGN_BINS) & 1
+    return size, np.packbits(odd, axis=1).view(np.uint64).reshape(-1, SIGN_WORDS)
+
+
+def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size, words = signs(batch.column("words").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("line"), pa.array(size), *(pa.array(words[:, k].view(np.int64)) for k in range(SIGN_WORDS))], names=["line", "size", *SIGNS])
+
+
+SIGNS = [f"sign{k}" for k in range(SIGN_WORDS)]
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, line) of rows with a possible partner of another component that lengths and bigrams allow, too."""
+    for table, cut in _whole(batches):
+        size = table.column("size").to_numpy()
+        most = np.maximum(EDITS, np.sqrt(size // CHARS + 0.5).astype(np.int64))
+        words = [table.column(x).to_numpy() for x in SIGNS]
+        seen = np.zeros(table.num_rows, bool)
+        for p, q, _ in _possible(table, cut):
+            near = np.minimum(most[p], most[q])
+            ok = np.abs(size[p] - size[q]) <= near
+            p, q, near = p[ok], q[ok], near[ok]
+            unlike = sum((np.bitwise_count((w[p] ^ w[q]).view(np.uint64)).astype(np.int64) for w in words), np.zeros(len(p), np.int64))
+            ok = unlike <= 4 * near
+            seen[p[ok]] = seen[q[ok]] = True
         if seen.any():
             own = pa.array(np.flatnonzero(seen))
             yield pa.RecordBatch.from_arrays([table.column(x).combine_chunks().take(own) for x in ("key", "line")], names=["key", "line"])
@@ -547,18 +590,26 @@ def line_classes(spark: SparkSession, own: DataFrame, where: DataFrame) -> DataF
     shared = stash(spark, mapped(rows, _shared, "key bigint, line bigint, tag int").distinct())
     w = Window.partitionBy("key")
 
-    def apart(comps: DataFrame | None, rows: DataFrame) -> DataFrame:
-        """Rows of groups that hold two components, cut into blocks."""
+    def apart(comps: DataFrame | None, rows: DataFrame, signed: DataFrame | None = None) -> DataFrame:
+        """Rows of groups that hold two components, cut into blocks; signed: what further to have of each line."""
         now = rows.withColumn("comp", F.col("line")) if comps is None else rows.join(comps, F.col("line") == F.col("c"), "left").select("key", "line", "tag", F.coalesce("comp", "line").alias("comp"))
         over = now.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"), F.count("*").over(w).alias("n"))
-        return _dealt(_blocks(over.where("lo < hi").drop("lo", "hi"), BLOCK).select("key", "part", "line", "tag", "comp"))
+        mixed = over.where("lo < hi").drop("lo", "hi")
+        if signed is not None:
+            mixed = mixed.join(signed, "line")
+        return _dealt(_blocks(mixed, BLOCK).select("key", "part", "line", "tag", "comp", *(["size", *SIGNS] if signed is not None else [])))
 
     few = shared.where(F.shiftright("key", 4) % FIRST_KEYS == 0)
     pairs = stash(spark, mapped(apart(None, few), _candidates, "a bigint, b bigint").distinct())
     texts = _texts(spark, own, where, pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("words").alias("s")), "a").join(texts.select(F.col("line").alias("b"), F.col("words").alias("t")), "b")
     comps = merged(spark, None, stash(spark, mapped(both, _check, "a bigint, b bigint")))
-    doubtful = stash(spark, mapped(apart(comps, shared), _doubtful, "key bigint, line bigint").distinct())
+    doubtful = stash(spark, mapped(apart(comps, shared), _doubtful, "key bigint, line bigint, tag int").distinct())
+    if doubtful.isEmpty():
+        return comps
+    texts = _texts(spark, own, where, doubtful.select("line").distinct())
+    signed = stash(spark, mapped(texts, _signs, "line bigint, size bigint, " + ", ".join(f"{x} bigint" for x in SIGNS)))
+    doubtful = stash(spark, mapped(apart(comps, doubtful, signed), _alike, "key bigint, line bigint").distinct())
     if doubtful.isEmpty():
         return comps
     # lines that a key holds together form a cluster: each hangs on the key's least line
@@ -570,7 +621,6 @@ def line_classes(spark: SparkSession, own: DataFrame, where: DataFrame) -> DataF
     else:
         cluster = cluster.withColumn("comp", F.col("line"))
     cluster = stash(spark, cluster)
-    texts = _texts(spark, own, where, cluster.select("line"))
     dealt = _dealt(_blocks(cluster, CLUSTER_BLOCK).join(texts, "line").select("key", "part", "line", "comp", "words"))
     return merged(spark, comps, stash(spark, mapped(dealt, _clusters, "a bigint, b bigint").distinct()))
 

@@ -1,9 +1,12 @@
-"""What stays on disk while a query runs, and which plans move texts."""
+"""What stays on disk while a query runs, which plans move texts, and how much is compared."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colometry.llm import common, quality
+from colometry.llm import common, lines, quality
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -40,3 +43,38 @@ def test_quality_stage_joins_no_texts(spark):
         assert sorted(map(tuple, out.collect()), key=str) == sorted((r for r in rows if r[1] in kept), key=str)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_bigram_parities_bound_the_edits():
+    rng = random.Random(7)
+    for n in (30, 31, 200, 900):
+        a = "".join(rng.choice("abcde é漢") for _ in range(n))
+        for edits in range(lines.edits(n) + 1):
+            b = list(a)
+            for _ in range(edits):
+                at, kind = rng.randrange(len(b)), rng.randrange(3)
+                b[at : at + (kind != 0)] = [] if kind == 1 else [rng.choice("abcxyz")]
+            (n_a, n_b), words = lines.signs([a, "".join(b)])
+            assert (n_a, n_b) == (len(a), len(b))
+            assert np.bitwise_count(words[0] ^ words[1]).sum() <= 4 * edits
+
+
+def test_lines_with_a_common_phrase_form_no_cluster(spark, monkeypatch):
+    """Lines that share a phrase by chance are not compared each with each; near copies among them still are found."""
+    rng = random.Random(5)
+    phrase = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(20))
+    texts = [phrase + "".join(rng.choice("abcdefghijklmnopqrstuvw ") for _ in range(530 - len(phrase))) for _ in range(60)]
+    clustered, stash = [], lines.stash
+
+    def counted(session, df):
+        out = stash(session, df)
+        if {"key", "n", "line", "comp"} == set(df.columns):
+            clustered.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "stash", counted)
+    near = [texts[0][:300] + "XY" + texts[0][301:], texts[1][:-3]]
+    docs = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")
+    gone = {r.doc_id for r in lines.dedup_lines(spark, docs).where("n_removed > 0").collect()}
+    assert gone == {60, 61}
+    assert sum(clustered) <= 4
