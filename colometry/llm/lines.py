@@ -7,7 +7,7 @@ similar length have one size; the first half are counted from the line's start,
 so the k-th from its side moves by k places at most, whatever the lengths. Each line's segments are index
 rows, its substrings at the other places they can move to are probe rows; equal hashes of (length class,
 number, substring) make candidates. Places for a line are (edits + 1)**2 / 2 about, a fixed number a code point.
-Candidates are verified by a banded bit-parallel automaton. Lines linked directly or through others form a
+Candidates are verified by how far each number of edits reaches on each diagonal. Lines linked directly or through others form a
 class; of a class the first line, by document and place, stays and every other goes.
 
 Links that would join what is joined already need no check. A quarter of the keys is enough to join most
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import KNOWN, SPACE_BYTES, chunks, components, lists, mapped, merged, mix, prefix_sums, range_hash, scratch, stash
@@ -40,18 +40,20 @@ EDITS, MIN_CHARS = 2, 30
 CHARS = 8
 #: Of this many keys one is taken in the first round. Members of a group, and of a cluster, that are compared in one task.
 FIRST_KEYS, BLOCK, CLUSTER_BLOCK = 4, 2048, 512
-#: Pairs of lines verified at once, and bins of characters that are counted before.
-PAIRS, BINS = 512, 64
+#: Pairs of lines verified at once, their diagonals and code points at most, code points compared in one step, and bins of characters that are counted before.
+PAIRS, CELLS, POINTS, WIDTH, BINS = 512, 1 << 15, 1 << 22, 32, 64
 #: Words of 64 bits, and so bins, of the parities of bigrams.
 SIGN_WORDS, SIGN_BINS = 4, 256
 #: Rows of a group whose pairs are listed together with those of other groups, and pairs listed at once.
 SMALL, STEP = 64, 1 << 19
-#: Lines to verify, or places of lines to remove, that may be broadcast (about 8 bytes each); beyond, documents are shuffled and joined.
+#: Lines to verify, classed or repeated, or places of lines to remove, that may be broadcast (8 or 16 bytes each); beyond, rows are shuffled and joined.
 BROADCAST = 2_000_000
 #: Bytes of text whose rows, some 30 a line, are made at once.
 ROWS_BYTES = 1 << 20
 #: Bytes of text for each bucket of index and probe rows; a task holds the rows of one bucket.
 BUCKET_BYTES = 8 << 20
+#: By byte.
+IS_SPACE = np.isin(np.arange(256), SPACE_BYTES)
 
 
 def edits_within(x: str, y: str, most: int = EDITS) -> bool:
@@ -93,62 +95,88 @@ def edits_within(x: str, y: str, most: int = EDITS) -> bool:
     return bool(levels[-1] & end)
 
 
-def distances(xs: list[np.ndarray], ys: list[np.ndarray], most: int) -> np.ndarray:
-    """Edit distances of pairs of code point arrays, exact up to most (31 at most), else larger than it.
+def runs(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many code points from i on in x equal those from j on in y. Behind i and j must be a difference, and then WIDTH at least."""
+    out = np.zeros(len(i), np.int64)
+    # most go no further than this
+    live = np.flatnonzero(x[i] == y[j])
+    xs, ys = (np.lib.stride_tricks.sliding_window_view(z, WIDTH) for z in (x, y))
+    while len(live):
+        equal = np.packbits(xs[i[live] + out[live]] == ys[j[live] + out[live]], axis=1, bitorder="little").view(np.uint32)[:, 0]
+        # ones below the lowest zero
+        step = np.bitwise_count(equal & ~(equal + np.uint32(1)))
+        out[live] += step
+        live = live[step == WIDTH]
+    return out
+
+
+def distances(xs: list[np.ndarray], ys: list[np.ndarray], most: int | np.ndarray) -> np.ndarray:
+    """Edit distances of pairs of code point arrays, exact up to most, a bound for all or each its own, else larger than it.
 
-    Myers' vertical deltas of the band around the diagonal, one machine word a pair, all pairs a column
-    further at once; the band slides down a row with each column, so the deltas shift up by one bit
-    (Hyyrö, 2003). A step along the pair's own diagonal costs 1 unless the diagonal delta is 0.
+    For e edits and each diagonal (place in y less place in x), how far in x they reach: one edit further than e - 1 edits on this
+    diagonal or a neighbour, then as long as both go on alike (Ukkonen, 1985). All pairs and diagonals take a step at once,
+    but for diagonals from which the edits left don't lead to the pair's own, on which it ends.
     """
-    width, word = (32, np.uint32) if most <= 15 else (64, np.uint64)
     m, n = (np.array([len(z) for z in zs], np.int64) for zs in (xs, ys))
-    d = m - n
-    out = np.abs(d) + most + 1
-    able = np.flatnonzero(np.abs(d) <= most)
-    able = able[np.argsort(n[able], kind="stable")]
-    one, mask = word(1), word((1 << (2 * most + 1)) - 1)
-    for begin in range(0, len(able), PAIRS):
-        at = able[begin : begin + PAIRS]
-        size = int(n[at].max())
-        # rows beside the line match nothing
-        x = np.full((len(at), most + max(size, int(m[at].max())) + width), 0xFFFFFFFF, np.uint32)
-        y = np.full((len(at), size), 0xFFFFFFFE, np.uint32)
-        for row, k in enumerate(at.tolist()):
-            x[row, most : most + m[k]] = xs[k]
-            y[row, : n[k]] = ys[k]
-        up = np.full(len(at), ((1 << (most + 1)) - 1) << most, np.uint64).astype(word) & mask
-        down = np.zeros(len(at), word)
-        shift, free, long = (most + d[at]).astype(word), np.zeros(len(at), np.int64), n[at]
-        for j in range(size):
-            match = np.packbits(x[:, j : j + width] == y[:, j, None], axis=1, bitorder="little").view(word)[:, 0]
-            diagonal = ((((match & up) + up) ^ up) | match | down) & mask
-            right, left = down | ~(diagonal | up), diagonal & up
-            below = diagonal >> one
-            up, down = left | ~(below | right), below & right
-            free += ((diagonal >> shift) & one).astype(np.int64) * (long > j)
-        out[at] = np.maximum(d[at], 0) + long - free
+    most = np.broadcast_to(np.asarray(most, np.int64), len(xs))
+    out = np.abs(n - m) + most + 1
+    able = np.flatnonzero(np.abs(n - m) <= most)
+    able = able[np.argsort(most[able], kind="stable")]
+    begin = 0
+    while begin < len(able):
+        # bounds of one batch are alike
+        own = most[able[begin : begin + PAIRS]]
+        size = int(np.searchsorted(own, 2 * own[0] + 4))
+        size = max(1, min(size, CELLS // (2 * int(own[size - 1]) + 1), int(np.searchsorted(np.cumsum((m + n)[able[begin : begin + size]]), POINTS, "right"))))
+        at, begin = able[begin : begin + size], begin + size
+        k = int(most[at].max())
+        flat, base = [], []
+        for zs, sizes, end in ((xs, m[at], 0xFFFFFFFF), (ys, n[at], 0xFFFFFFFE)):
+            # what stands behind the lines equals nothing
+            flat.append(np.concatenate([z for p in at.tolist() for z in (zs[p], np.array([end], np.uint32))] + [np.full(WIDTH, end, np.uint32)]))
+            base.append(np.cumsum(sizes + 1) - sizes - 1)
+        # a column beside the diagonals on either side; reached places, -1 - 2 k: none
+        d = np.arange(-k - 1, k + 2)
+        none = -2 - 2 * k
+        reach = np.full((len(at), 2 * k + 3), none, np.int64)
+        ends = np.minimum(m[at, None], n[at, None] - d)
+        final = n[at] - m[at]
+        left = most[at, None] - np.abs(d - final[:, None])
+        live = np.arange(len(at))
+        for e in range(k + 1):
+            lo, hi = k + 1 - e, k + 2 + e
+            if e:
+                old = reach[live, lo - 1 : hi + 1]
+                now = np.maximum(np.maximum(old[:, 1:-1] + 1, old[:, 2:] + 1), old[:, :-2])
+                now = np.where(now < 0, none, np.minimum(now, ends[live, lo:hi]))
+            else:
+                now = np.zeros((len(live), 1), np.int64)
+            row, col = np.nonzero((now >= 0) & (left[live, lo:hi] >= e))
+            pair, i = live[row], now[row, col]
+            now[row, col] = i + runs(*flat, base[0][pair] + i, base[1][pair] + i + d[lo + col])
+            reach[live, lo:hi] = now
+            done = now[np.arange(len(live)), np.clip(final[live] + e, 0, 2 * e)] >= m[at[live]]
+            done &= np.abs(final[live]) <= e
+            out[at[live[done]]] = e
+            live = live[~done & (most[at[live]] > e)]
+            if not len(live):
+                break
     return out
 
 
 def within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.ndarray:
     """Whether the distance of each pair is at most its own bound."""
-    ok = np.zeros(len(most), bool)
-    for low, high in ((0, 7), (8, 15), (16, 31)):
-        own = np.flatnonzero((most >= low) & (most <= high))
-        if len(own):
-            ok[own] = distances([xs[k] for k in own], [ys[k] for k in own], int(most[own].max())) <= most[own]
-    for k in np.flatnonzero(most > 31).tolist():
-        ok[k] = edits_within(*(z.astype("<u4").tobytes().decode("utf-32-le") for z in (xs[k], ys[k])), int(most[k]))
-    return ok
+    return distances(xs, ys, most) <= most
 
 
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def line_hash(raw: bytes) -> int:
-    """As Spark's xxhash64 of the string."""
-    return (xxhash.xxh64_intdigest(raw, 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+def line_hashes(raw: bytes, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """As Spark's xxhash64 of each range as a string."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(raw[a:b], 42) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], np.uint64).view(np.int64)
 
 
 def edits(length: int) -> int:
@@ -183,50 +211,68 @@ def segment_rows(sums: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np
         moves = [(i * q + at, False, i, at) for i in range(left) for at in range(-i, i + 1)]
         moves += [(at - (i + 1) * q, True, left + i, at) for i in range(most + 1 - left) for at in range(-i, i + 1)]
         off, back, number, at = (np.array(x) for x in zip(*moves, strict=True))
-        begin = off + np.where(back, size[who, None], 0)
-        row, col = np.nonzero((begin >= 0) & (begin + q <= size[who, None]))
-        begin = begin[row, col] + lo[who[row]]
-        keys = range_hash(sums, begin, begin + q) ^ mix((np.uint64(least) << np.uint64(24)) + number[col].astype(np.uint64))
+        # none leaves its line: the segments that a side counts are half of them, and the others' length allows the moves
+        begin = lo[who, None] + off + np.where(back, size[who, None], 0)
+        keys = range_hash(sums, begin, begin + q) ^ mix((np.uint64(least) << np.uint64(24)) + number.astype(np.uint64))
         keys = keys & ~np.uint64(15) | np.uint64(min(most, 15))
-        found.append((keys, who[row], (at[col] != 0) | (size[who[row]] >= after)))
+        found.append((keys.ravel(), np.repeat(who, len(moves)), ((at != 0) | (size[who, None] >= after)).ravel()))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def long_lines(data: np.ndarray, bounds: np.ndarray, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end in bytes, start and end in code points, and text of each line of MIN_CHARS code points or more; short: of each with a word."""
-    ahead = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=ahead[1:])
+def line_ends(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end in bytes and document of each line, empty documents aside; places of line feeds."""
     breaks = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate([bounds[:-1], breaks + 1]))
     doc = np.minimum(np.searchsorted(bounds, begin, "right"), len(bounds) - 1)
     stop = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, begin)], bounds[doc])
-    if short:
-        inked = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(~np.isin(data, SPACE_BYTES), out=inked[1:])
-        long = np.flatnonzero((ahead[stop] - ahead[begin] >= MIN_CHARS) | (inked[stop] > inked[begin]))
-    else:
-        long = np.flatnonzero(ahead[stop] - ahead[begin] >= MIN_CHARS)
-    begin, stop = begin[long], stop[long]
-    return begin, stop, ahead[begin], ahead[stop], doc[long] - 1
+    return begin, stop, doc - 1, breaks
+
+
+def long_lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end in bytes, start and end in code points of each line of MIN_CHARS code points or more."""
+    begin, stop, _, _ = line_ends(data, bounds)
+    # bytes that begin no code point
+    inner = np.flatnonzero(data.view(np.int8) < -64)
+    lo, hi = begin - np.searchsorted(inner, begin), stop - np.searchsorted(inner, stop)
+    long = np.flatnonzero(hi - lo >= MIN_CHARS)
+    return begin[long], stop[long], lo[long], hi[long]
+
+
+def worded(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether each line has a word. Most begin with one."""
+    found = begin < stop
+    found[found] = ~IS_SPACE[data[begin[found]]]
+    for k in np.flatnonzero(~found & (begin < stop)).tolist():
+        found[k] = not IS_SPACE[data[begin[k] : stop[k]]].all()
+    return found
 
 
 def _lines(short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes and places of each document's long lines, or of all with a word."""
+        """Hashes and places of each document's long lines, or of all with a word, and the text's bytes."""
         for rows, data, bounds in chunks(batches, "text", ROWS_BYTES):
-            begin, stop, _, _, doc = long_lines(data, bounds, short)
-            raw = data.tobytes()
-            own = np.array([line_hash(raw[a:b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], np.int64)
-            breaks = np.flatnonzero(data == 10)
+            if short:
+                begin, stop, doc, breaks = line_ends(data, bounds)
+                # white space is ASCII, so a long line without a word has as many bytes as code points
+                own = np.flatnonzero(worded(data, begin, stop) | (stop - begin >= MIN_CHARS))
+                begin, stop, doc = begin[own], stop[own], doc[own]
+            else:
+                begin, stop, _, _ = long_lines(data, bounds)
+                breaks = np.flatnonzero(data == 10)
+                doc = np.searchsorted(bounds, begin, "right") - 1
             place = np.searchsorted(breaks, begin) - np.searchsorted(breaks, bounds[doc])
             cuts = np.searchsorted(doc, np.arange(rows.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists(pa.array(own), cuts), lists(pa.array(place.astype(np.int32)), cuts)], names=["r", "k", "lines", "places"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists(pa.array(line_hashes(data.tobytes(), begin, stop)), cuts), lists(pa.array(place.astype(np.int32)), cuts), pa.array(np.diff(bounds))], names=["r", "k", "lines", "places", "size"])
 
     return run
 
 
+#: The bin, as a bit, of each character of the first plane.
+_BIN = np.uint32(1) << (np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(24)
+
+
 def parities(cp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """For each range of code points 24 bits: whether the number of characters in a bin is odd; above them the length modulo 128.
 
@@ -234,7 +280,8 @@ def parities(cp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """
     if not len(lo):
         return np.zeros(0, np.int32)
-    bits = np.append(np.uint32(1) << (cp * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(24), np.uint32(0))
+    # as good for a character of another plane: the bin of its low bits
+    bits = np.append(_BIN[cp.astype(np.uint16)], np.uint32(0))
     odd = np.bitwise_xor.reduceat(bits, np.stack([lo, hi], axis=1).ravel())[::2]
     return (odd | ((hi - lo) & 127).astype(np.uint32) << np.uint32(24)).astype(np.int32)
 
@@ -255,11 +302,10 @@ def _keys(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for n, (_, data, bounds) in enumerate(chunks(batches, "text", ROWS_BYTES)):
-            begin, stop, lo, hi, _ = long_lines(data, bounds)
+            begin, stop, lo, hi = long_lines(data, bounds)
             raw = data.tobytes()
             ids, at = [], []
-            for k, (a, b) in enumerate(zip(begin.tolist(), stop.tolist(), strict=True)):
-                own = line_hash(raw[a:b])
+            for k, own in enumerate(line_hashes(raw, begin, stop).tolist()):
                 if own not in known:
                     if len(known) > KNOWN:
                         known.clear()
@@ -406,10 +452,11 @@ def _possible(table: pa.Table, cut: np.ndarray) -> Iterator[tuple[np.ndarray, np
         return i[ok], j[ok], (unlike + longer)[ok].astype(np.int64)
 
     size = np.diff(cut)
-    small = (size > 1) & (size <= SMALL)
+    mixed = np.minimum.reduceat(comp, cut[:-1]) < np.maximum.reduceat(comp, cut[:-1])
+    small = mixed & (size <= SMALL)
     for i, j in pairs_within(cut[:-1][small], size[small]):
         yield near(i, j)
-    for k in np.flatnonzero(size > SMALL).tolist():
+    for k in np.flatnonzero(mixed & (size > SMALL)).tolist():
         index = np.arange(cut[k], cut[k + 1])
         index = index[tag[index] >= 0]
         for a in range(int(cut[k]), int(cut[k + 1]), 256):
@@ -584,20 +631,32 @@ def _texts(spark: SparkSession, own: DataFrame, where: DataFrame, wanted: DataFr
 def line_classes(spark: SparkSession, own: DataFrame, where: DataFrame) -> DataFrame | None:
     """(c, comp): classes of line hashes with more than one line; None if there is none.
 
-    own has the documents (r, text), where their long lines (r, lines)."""
-    buckets = max(1, (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+    own has the documents (r, text), where their long lines and bytes (r, lines, size)."""
+    buckets = max(1, (where.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES)
     rows = mapped(own.select("text"), _keys(buckets), "bucket bigint, kind int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
     shared = stash(spark, mapped(rows, _shared, "key bigint, line bigint, tag int").distinct())
-    w = Window.partitionBy("key")
+    # keys of more rows than a block
+    large = stash(spark, shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key"))
+    any_large = not large.isEmpty()
 
     def apart(comps: DataFrame | None, rows: DataFrame, signed: DataFrame | None = None) -> DataFrame:
-        """Rows of groups that hold two components, cut into blocks; signed: what further to have of each line."""
-        now = rows.withColumn("comp", F.col("line")) if comps is None else rows.join(comps, F.col("line") == F.col("c"), "left").select("key", "line", "tag", F.coalesce("comp", "line").alias("comp"))
-        over = now.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"), F.count("*").over(w).alias("n"))
-        mixed = over.where("lo < hi").drop("lo", "hi")
+        """Rows with their components, those of large groups that hold two cut into blocks; signed: what further to have of each line."""
+        if comps is not None and comps.count() <= BROADCAST:
+            comps = F.broadcast(comps)
+
+        def owned(rows: DataFrame) -> DataFrame:
+            return rows.withColumn("comp", F.col("line")) if comps is None else rows.join(comps, F.col("line") == F.col("c"), "left").select("key", "line", "tag", F.coalesce("comp", "line").alias("comp"))
+
+        now = owned(rows)
+        if any_large:
+            # a row for BLOCK rows of the table at most
+            held = owned(rows.join(F.broadcast(large), "key", "left_semi")).groupBy("key").agg(F.count("*").alias("n"), (F.min("comp") < F.max("comp")).alias("mixed"))
+            now = _blocks(now.join(F.broadcast(held), "key", "left").where("n is null or mixed").drop("mixed").withColumn("n", F.coalesce("n", F.lit(1))), BLOCK)
+        else:
+            now = now.withColumn("part", F.lit(0).cast("bigint"))
         if signed is not None:
-            mixed = mixed.join(signed, "line")
-        return _dealt(_blocks(mixed, BLOCK).select("key", "part", "line", "tag", "comp", *(["size", *SIGNS] if signed is not None else [])))
+            now = now.join(signed, "line")
+        return _dealt(now.select("key", "part", "line", "tag", "comp", *(["size", *SIGNS] if signed is not None else [])))
 
     few = shared.where(F.shiftright("key", 4) % FIRST_KEYS == 0)
     pairs = stash(spark, mapped(apart(None, few), _candidates, "a bigint, b bigint").distinct())
@@ -638,7 +697,7 @@ def dedup_lines(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: s
     """
     kind = df.schema[key].dataType.simpleString()
     own = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.xxhash64("k", "text").alias("r"), "k", "text")
-    where = stash(spark, mapped(own, _lines(short), f"r bigint, k {kind}, lines array<bigint>, places array<int>"))
+    where = stash(spark, mapped(own, _lines(short), f"r bigint, k {kind}, lines array<bigint>, places array<int>, size bigint"))
     with scratch(spark) as keep:
         comps = keep(line_classes(spark, own, where))
     places = where.select("r", "k", F.explode(F.arrays_zip("lines", "places")).alias("x")).select("r", "k", F.col("x.lines").alias("line"), F.col("x.places").alias("place"))
@@ -646,7 +705,8 @@ def dedup_lines(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: s
     doubtful = places.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
     if comps is not None:
         doubtful = doubtful.union(comps.select("c")).distinct()
-    where = stash(spark, places.join(doubtful, "line", "left_semi"))
+    doubtful = stash(spark, doubtful)
+    where = stash(spark, places.join(F.broadcast(doubtful) if doubtful.count() <= BROADCAST else doubtful, "line", "left_semi"))
     first = F.min(F.struct(F.col("k").isNull().alias("last"), "k", "r", "place")).alias("first")
     firsts = where.groupBy("line").agg(first)
     if comps is not None:
