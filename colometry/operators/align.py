@@ -197,17 +197,44 @@ def fallback_rows(df: DataFrame, keys: list[str], src: str = "src", tgt: str = "
     return df.select(*keys, s.alias("src"), t.alias("tgt"), F.lit("fallback_mode").alias("split_method"), F.lit(1.0).alias("similarity"), F.size(T.split_ws(s)).alias("src_tokens"), F.size(T.split_ws(t)).alias("tgt_tokens"))
 
 
+#: Ranges that ordered rows are numbered in, RANGES of RANGES; and rows drawn, by hashes of their keys, to find where these begin.
+RANGES, DRAWN = 16, 4096
+
+
 def row_numbers(df: DataFrame, order: list[str] | None = None, name: str = "row_idx") -> DataFrame:
-    """df with each row's number from 0, in the order given (a range partitioning), else in that of the partitions read.
+    """df with each row's number from 0, in the order given, else in that of the partitions read.
 
-    Counts of partitions are the offsets, so that no task holds all rows; one row for each partition is broadcast.
+    Counts of ranges (partitions) are the offsets, so that no task holds all rows; one row for each range is
+    broadcast. A row's range follows from its keys alone, so counts and rows can't disagree however either is
+    partitioned: 256 ranges at most, their bounds from the DRAWN keys of the smallest hashes.
     """
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    part = part.withColumn("_pos", F.monotonically_increasing_id())
+    if order:
+        return _numbers_by_range(df, order, name)
+    part = df.withColumn("_pos", F.monotonically_increasing_id())
     part = part.withColumn("_part", F.shiftright("_pos", 33)).withColumn("_in", F.col("_pos").bitwiseAND((1 << 33) - 1))
+    return part.join(F.broadcast(_before(part)), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_pos", "_part", "_in", "_before")
+
+
+def _before(part: DataFrame) -> DataFrame:
+    """_part, _before: the rows of all earlier parts."""
     counts = part.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return part.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_pos", "_part", "_in", "_before")
+    return counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+
+
+def _numbers_by_range(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    key = F.struct(*order)
+    drawn = df.select(key.alias("_k"), F.xxhash64(*order).alias("_h")).orderBy("_h", "_k").limit(DRAWN)
+    every = lambda n: F.filter("_all", lambda _, i: i % F.greatest(F.lit(1), F.ceil(F.size("_all") / n)) == 0)
+    bounds = drawn.agg(F.array_sort(F.collect_list("_k")).alias("_all")).select(every(RANGES * RANGES).alias("_all")).select("_all", F.filter("_all", lambda _, i: i % RANGES == 0).alias("_first"))
+
+    def place(k: Column) -> Column:
+        """The bounds up to the key: those of whole blocks, then those within its block."""
+        skipped = F.greatest(F.lit(0), F.size(F.filter("_first", lambda x: x <= k)) - 1) * RANGES
+        return T.let(skipped, lambda n: n + F.size(F.filter(F.slice("_all", n + 1, RANGES), lambda x: x <= k)))
+
+    part = df.crossJoin(F.broadcast(bounds)).withColumn("_part", T.let(key, place)).drop("_all", "_first")  # one row of 256 keys at most
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return part.withColumn("_in", inner).join(F.broadcast(_before(part)), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
 def chunk_ids(df: DataFrame, order: list[str], size: int = 100) -> DataFrame:

@@ -285,6 +285,21 @@ def test_checks_within_rows_and_files(spark):
     assert tuple(got) == (5, 2, 0, 0)
 
 
+def test_rows_are_numbered_alike_whatever_else_they_hold(spark, tmp_path):
+    """Texts of several MB in the rows and none in their counts, so that partitions of either are merged differently."""
+    texts = [f"{k} " + "".join(hashlib.sha256(b"%d %d" % (k, j)).hexdigest() for j in range(20)) for k in range(5000)]
+    rows = spark.createDataFrame([(k * 7919 % 5000 // 7, k * 7919 % 5000 % 7, texts[k * 7919 % 5000]) for k in range(5000)], "a long, b long, t string")
+    rows.repartition(8).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    digests = [t.replace(" ", "") for t in texts]
+    chars = sum(map(len, digests))
+    for _ in range(I.LEVELS):
+        digests = [hashlib.sha256("".join(digests[k : k + I.FANOUT]).encode()).hexdigest() for k in range(0, len(digests), I.FANOUT)]
+    assert I.file_checksum(df, "t", ["a", "b"]).first() == (digests[0], chars)
+    got = A.row_numbers(df, ["a", "b"]).select("a", "b", "row_idx").collect()
+    assert len(got) == 5000 and all(r.row_idx == r.a * 7 + r.b for r in got)
+
+
 def test_command_line(spark, tmp_path):
     spark.createDataFrame([("子曰 學而", "A b. C d."), ("", "x"), ("甲 乙", "e f g")], "src string, tgt string").coalesce(1).write.parquet(str(tmp_path / "in.parquet"))
     assert cli.main(["sa", str(tmp_path / "in.parquet"), str(tmp_path / "sa.parquet"), "--embedder", "hash"]) == 0
