@@ -84,27 +84,34 @@ def punctuation_split(c: Column, max_length: int = 150) -> Column:
 
 
 def equal_chars(c: Column, n: Column) -> Column:
-    """n pieces of equal length, the first ones longer by one; n < 1 gives none."""
-    q, r = F.floor(F.length(c) / n).cast("int"), (F.length(c) % n).cast("int")
+    """n pieces of equal length, the first ones longer by one; n < 1 gives none.
 
-    def piece(k: Column) -> Column:
-        return F.substring(c, k * q + F.least(k, r) + 1, q + F.when(k < r, 1).otherwise(0))
+    Each of the two lengths is one pass over its part of the text, however many pieces there are.
+    """
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), piece)).otherwise(F.array().cast("array<string>"))
+    def runs(text: Column, length: Column) -> Column:
+        return F.regexp_extract_all(text, F.concat(F.lit("(?s).{"), length.cast("string"), F.lit("}")), F.lit(0))
+
+    def pieces(x: Column) -> Column:
+        q, r = F.floor(x["m"] / x["n"]).cast("int"), (x["m"] % x["n"]).cast("int")
+        longer = F.when(r > 0, runs(F.substring(x["c"], 1, r * (q + 1)), q + 1)).otherwise(F.array().cast("array<string>"))
+        return F.concat(longer, F.when(q > 0, runs(F.substring(x["c"], r * (q + 1) + 1, x["m"]), q)).otherwise(F.array_repeat(F.lit(""), x["n"] - r)))
+
+    own = let(F.struct(c.alias("c"), n.cast("int").alias("n"), F.length(c).alias("m")), pieces)
+    return F.when(n > 0, F.coalesce(own, F.array_repeat(F.lit(None).cast("string"), n.cast("int")))).otherwise(F.array().cast("array<string>"))
 
 
 def safe_punctuation_split(c: Column, max_length: int = 150) -> Column:
     """punctuation_split whose loss was noticed: only trailing marks lost are put back at the end, after
     any other loss the text is cut into as many equal pieces."""
-    bare = squeeze(c)
-    missing = F.regexp_extract(bare, r"[.!?。！？；]+\z", 0)
 
-    def check(pieces: Column) -> Column:
-        whole = squeeze(F.array_join(pieces, ""))
+    def check(x: Column) -> Column:
+        pieces, bare, whole = x["p"], x["b"], x["w"]
+        missing = F.regexp_extract(bare, r"[.!?。！？；]+\z", 0)
         last = F.concat(F.slice(pieces, 1, F.size(pieces) - 1), F.array(F.concat(F.element_at(pieces, -1), missing)))
         return F.when(F.size(pieces) == 0, F.when(bare == "", pieces).otherwise(F.array(c))).when(whole == bare, pieces).when(F.concat(whole, missing) == bare, last).otherwise(equal_chars(c, F.size(pieces)))
 
-    return let(punctuation_split(c, max_length), check)
+    return let(punctuation_split(c, max_length), lambda p: let(F.struct(p.alias("p"), squeeze(c).alias("b"), squeeze(F.array_join(p, "")).alias("w")), check))
 
 
 def safe_sentences(c: Column) -> Column:

@@ -1,6 +1,7 @@
 import difflib
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -300,6 +301,19 @@ def test_rows_are_numbered_alike_whatever_else_they_hold(spark, tmp_path):
     assert len(got) == 5000 and all(r.row_idx == r.a * 7 + r.b for r in got)
 
 
+def test_equal_pieces_take_linear_time(spark):
+    """Cuts of any text into any number of pieces are plain Python's; a long one of many sentences takes seconds, not minutes."""
+    rng = random.Random(5)
+    rows = [("".join(rng.choice("ab \n。.\U00020000") for _ in range(rng.randrange(30))), rng.randrange(-1, 12)) for _ in range(300)]
+    df = spark.createDataFrame([(k, t, n) for k, (t, n) in enumerate([*rows, (None, 2), ("", 3)])], "k int, t string, n int")
+    got = {r.k: r.x for r in df.select("k", T.equal_chars(F.col("t"), F.col("n")).alias("x")).collect()}
+    assert all(got[k] == (I.even(t, n) if n > 0 else []) for k, (t, n) in enumerate(rows)) and got[300] == [None, None] and got[301] == ["", "", ""]
+    long = "abc de. " * 100_000
+    began = time.monotonic()
+    assert value(spark, long, T.safe_punctuation_split) == I.even(long, 100_000)
+    assert time.monotonic() - began < 60
+
+
 def test_command_line(spark, tmp_path):
     spark.createDataFrame([("子曰 學而", "A b. C d."), ("", "x"), ("甲 乙", "e f g")], "src string, tgt string").coalesce(1).write.parquet(str(tmp_path / "in.parquet"))
     assert cli.main(["sa", str(tmp_path / "in.parquet"), str(tmp_path / "sa.parquet"), "--embedder", "hash"]) == 0
