@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,24 +73,44 @@ def embed(df: DataFrame, text: str, loader: Callable[[], Embedder], out: str = "
     return df.join(vectors, F.col(text).eqNullSafe(F.col("_t"))).drop("_t")
 
 
+#: Rows scored at once, texts embedded at once, products of words and units held at once, and bytes of vectors remembered between rows.
+ROWS, TEXTS, CELLS, KNOWN = 64, 2048, 1 << 22, 24 << 20
+
+
+def _best_units(units: list[list[str] | None], words: list[list[str] | None], model: Embedder, known: dict[str, np.ndarray]) -> pa.Array:
+    """Each row's (best_src_idx, similarity) of its words. known: vectors of earlier rows' texts, begun anew beyond KNOWN bytes."""
+    texts = {t for column in (units, words) for row in column if row is not None for t in row}
+    if known and len(known) * next(iter(known.values())).nbytes > KNOWN:
+        known.clear()
+    missing = sorted(texts - known.keys())
+    for k in range(0, len(missing), TEXTS):
+        some = missing[k : k + TEXTS]
+        known.update(zip(some, np.asarray(model(some), dtype=float).reshape(len(some), -1), strict=True))
+    ends, best, similar = [0], [], []
+    for u, w in zip(units, words, strict=True):
+        if u and w:
+            b = np.stack([known[t] for t in u])
+            norms, step = np.linalg.norm(b, axis=1), max(1, CELLS // len(u))
+            for k in range(0, len(w), step):
+                a = np.stack([known[t] for t in w[k : k + step]])
+                found = (a @ b.T) / (np.outer(np.linalg.norm(a, axis=1), norms) + 1e-8)
+                best.append(found.argmax(axis=1))
+                similar.append(found[np.arange(len(a)), best[-1]])
+        ends.append(ends[-1] + (len(w) if u and w else 0))
+    columns = [pa.array(np.concatenate([np.zeros(0), *x]).astype(kind)) for x, kind in ((best, np.int32), (similar, np.float64))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["best_src_idx", "similarity"]))
+
+
 def embedded(loader: Callable[[], Embedder]):
     """A scorer by meaning for `align.analysis`: each word's most similar source unit, then the boundaries between words."""
 
-    @F.pandas_udf("array<struct<best_src_idx:int,similarity:double>>")
-    def best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = loader()
+    @F.arrow_udf("array<struct<best_src_idx:int,similarity:double>>")
+    def best(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model, known = loader(), {}
         for units, words in batches:
-            texts = sorted({t for column in (units, words) for row in column if row is not None for t in row})
-            vectors = dict(zip(texts, np.asarray(model(texts), dtype=float).reshape(len(texts), -1), strict=True))
-            out = []
-            for u, w in zip(units, words, strict=True):
-                if u is None or w is None or not len(u):
-                    out.append([])
-                    continue
-                a, b = (np.stack([vectors[t] for t in x]) if len(x) else np.zeros((0, 1)) for x in (w, u))
-                found = (a @ b.T if len(a) else np.zeros((0, len(b)))) / (np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)) + 1e-8)
-                out.append([{"best_src_idx": int(i), "similarity": float(row[i])} for row, i in zip(found, found.argmax(axis=1), strict=True)])
-            yield pd.Series(out)
+            for k in range(0, len(units), ROWS):
+                yield _best_units(units.slice(k, ROWS).to_pylist(), words.slice(k, ROWS).to_pylist(), model, known)
+        pa.default_memory_pool().release_unused()
 
     return lambda units, words: let(best(units, words), lambda w: F.when(F.size(w) > 1, semantic_scores(w)).otherwise(F.array().cast("array<double>")))
 

@@ -314,6 +314,30 @@ def test_equal_pieces_take_linear_time(spark):
     assert time.monotonic() - began < 60
 
 
+def test_texts_are_embedded_a_few_at_a_time(spark):
+    """However many words a batch of rows holds; scores are those of each row alone, also for a row in several blocks."""
+
+    def vectors(texts):
+        found = np.stack([np.random.default_rng(list(t.encode())).normal(size=8) for t in texts])
+        return found / np.linalg.norm(found, axis=1, keepdims=True)
+
+    def loader():
+        def few(texts):
+            assert len(texts) <= 2048, len(texts)
+            return vectors(texts).tolist()
+
+        return few
+
+    rng = random.Random(7)
+    rows = [(k, [f"u{rng.randrange(10**6)}" for _ in range(40)], [f"w{rng.randrange(10**6)}" for _ in range(40)]) for k in range(100)]
+    rows += [(100, [], ["a"]), (101, ["a"], []), (102, ["a", "b"], ["b"])]
+    df = spark.createDataFrame(rows, "k int, u array<string>, w array<string>").coalesce(1)
+    got = {r.k: r.s for r in df.select("k", E.embedded(loader)(F.col("u"), F.col("w")).alias("s")).collect()}
+    for k, u, w in rows:
+        best = [(int(x.argmax()), x.max()) for x in vectors(w) @ vectors(u).T] if u and w else []
+        assert got[k] == pytest.approx([min(0.9, max(0.1, (a + b) / 2)) if i != j else 0.1 for (i, a), (j, b) in zip(best, best[1:], strict=False)], abs=1e-6)
+
+
 def test_command_line(spark, tmp_path):
     spark.createDataFrame([("子曰 學而", "A b. C d."), ("", "x"), ("甲 乙", "e f g")], "src string, tgt string").coalesce(1).write.parquet(str(tmp_path / "in.parquet"))
     assert cli.main(["sa", str(tmp_path / "in.parquet"), str(tmp_path / "sa.parquet"), "--embedder", "hash"]) == 0
