@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,21 +70,33 @@ def restore_text(text: str, masks: list[dict]) -> str:
     return re.sub(r"__BRACKET_MASK_\d+__", "", text)
 
 
+#: Texts masked or restored at once, so that a worker holds no more of them as Python objects.
+ROWS = 64
+
+
 def masked(c: Column, kind: str = "source") -> Column:
-    @F.pandas_udf(f"struct<{MASKED.replace(' string', ':string').replace('masks array', 'masks:array').replace(', ', ',')}>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [mask_text(t or "", kind) for t in texts]
-        return pd.DataFrame({"masked": [a for a, _ in rows], "masks": [b for _, b in rows]})
+    inner = pa.struct([(n, pa.int32() if n.endswith("pos") else pa.string()) for n in ("mask_token", "content", "start_pos", "end_pos", "bracket_type", "text_type")])
+    made = pa.struct([("masked", pa.string()), ("masks", pa.list_(inner))])
+
+    @F.arrow_udf(f"struct<{MASKED.replace(' string', ':string').replace('masks array', 'masks:array').replace(', ', ',')}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for k in range(0, len(texts), ROWS):
+                yield pa.array([dict(zip(("masked", "masks"), mask_text(t or "", kind), strict=True)) for t in texts.slice(k, ROWS).to_pylist()], made)
+        pa.default_memory_pool().release_unused()
 
     return run(c)
 
 
 def restored(text: Column, masks: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([restore_text(t or "", list(m)) for t, m in zip(texts, found, strict=True)])
-
-    return run(text, masks)
+    @F.arrow_udf("string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, found in batches:
+            for k in range(0, len(texts), ROWS):
+                yield pa.array([restore_text(t or "", m or []) for t, m in zip(texts.slice(k, ROWS).to_pylist(), found.slice(k, ROWS).to_pylist(), strict=True)], pa.string())
+        pa.default_memory_pool().release_unused()
+
+    return run(text, F.transform(masks, lambda m: F.struct(m["mask_token"].alias("mask_token"), m["content"].alias("content"))))
 
 
 def lost_masks(text: Column, masks: Column) -> Column:

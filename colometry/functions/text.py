@@ -155,6 +155,14 @@ def merge_low_han(pieces: Column, most: int = 3) -> Column:
     return F.aggregate(pieces, start, step, finish)
 
 
+def packed(c: Column, max_length: int) -> Column:
+    """pack_tokens of a text's source_tokens, without them: the longest part that ends between tokens, else one token that is longer."""
+    inner = DELIMITERS + WS[1:-1]
+    between = rf"(?:(?<=[{inner}])(?=[^{inner}])|(?<=[^{inner}])(?=[{inner}])|\z)"
+    part = f"(?s:.{{1,{max_length}}}){between}|" if max_length > 0 else ""
+    return F.regexp_extract_all(c, F.lit(f"{part}[{inner}]+|[^{inner}]+"), 0)
+
+
 def pack_tokens(tokens: Column, max_length: int) -> Column:
     """Greedy packing: a token that would exceed max_length opens the next part."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("part"), F.lit(False).alias("any"))
@@ -167,7 +175,7 @@ def pack_tokens(tokens: Column, max_length: int) -> Column:
 
 
 def characters(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit("(?s)."), 0)
+    return F.filter(F.split(c, ""), lambda x: x != "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -259,8 +267,8 @@ def model_sentences(c: Column, load: Callable[[bool], Callable[[str], list[str]]
 
 def model_units(c: Column, max_length: int = 180, load: Callable[[bool], Callable[[str], list[str]] | None] = model_loader) -> Column:
     """Sentences by a model, those over max_length packed anew from their tokens; without a model as `sentences`."""
-    packed = lambda found: F.flatten(F.transform(found, lambda s: F.when(F.length(s) > max_length, pack_tokens(source_tokens(s), max_length)).otherwise(F.array(s))))
-    return let(model_sentences(c, load), lambda found: F.when(F.size(found) == 0, sentences(c)).otherwise(packed(found)))
+    repacked = lambda found: F.flatten(F.transform(found, lambda s: F.when(F.length(s) > max_length, packed(s, max_length)).otherwise(F.array(s))))
+    return let(model_sentences(c, load), lambda found: F.when(F.size(found) == 0, sentences(c)).otherwise(repacked(found)))
 
 
 def model_punctuation_split(c: Column, max_length: int = 150, load: Callable[[bool], Callable[[str], list[str]] | None] = model_loader) -> Column:

@@ -235,7 +235,7 @@ def pa_legacy_split(spark, sf_dir):
     "select e.doc_id, e.part::int n, string_agg(c.w, '' order by c.i) part from e join c on c.doc_id = e.doc_id and c.i >= e.first and c.i < e.after group by e.doc_id, e.part"
 )
 def pa_token_packing(spark, sf_dir):
-    return _explode(_docs(spark, sf_dir), ["doc_id"], T.pack_tokens(T.source_tokens(F.col("text")), 180), "part")
+    return _explode(_docs(spark, sf_dir), ["doc_id"], T.packed(F.col("text"), 180), "part")
 
 
 @query(_rows("documents", "doc_id", {"sentence": _sentences("text")}))
@@ -247,7 +247,8 @@ def pa_model_units(spark, sf_dir):
 @query(_rows("(select doc_id, unnest(" + _sentences("text") + ") s from documents)", "doc_id, md5(s) sentence", {"ch": "regexp_extract_all(s, '(?s).')"}).replace("select doc_id", "select doc_id", 1).replace(")::int n", ")::int n") .replace("select doc_id, md5(s) sentence, unnest", "select doc_id, md5(s) sentence, unnest"))
 def pa_characters(spark, sf_dir):
     own = _docs(spark, sf_dir).select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
-    return own.select("doc_id", F.md5("s").alias("sentence"), F.posexplode(T.characters(F.col("s"))).alias("i", "ch")).select("doc_id", "sentence", (F.col("i") + 1).alias("n"), "ch")
+    own = own.select("doc_id", "s", F.md5("s").alias("sentence"))  # once a sentence, not once a character
+    return own.select("doc_id", "sentence", F.posexplode(T.characters(F.col("s"))).alias("i", "ch")).select("doc_id", "sentence", (F.col("i") + 1).alias("n"), "ch")
 
 
 # ---------------------------------------------------------------- phrases
