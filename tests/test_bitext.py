@@ -2,8 +2,10 @@ import difflib
 import hashlib
 import random
 import time
+from pathlib import Path
 
 import numpy as np
+import psutil
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,6 +340,45 @@ def test_texts_are_embedded_a_few_at_a_time(spark):
         assert got[k] == pytest.approx([min(0.9, max(0.1, (a + b) / 2)) if i != j else 0.1 for (i, a), (j, b) in zip(best, best[1:], strict=False)], abs=1e-6)
 
 
+def test_masks_of_many_texts_take_little_memory(spark):
+    """600,000 masks in one task: its workers' peaks stay near what they had."""
+    kin = lambda: [p for p in psutil.Process().children(recursive=True) if "python" in p.name()]
+    peak = lambda p: int(Path(f"/proc/{p.pid}/status").read_text().split("VmHWM:")[1].split()[0]) / 1024
+    texts = spark.range(3000, numPartitions=1).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit(" (a) [b]"), 100)).alias("t"))
+    out = lambda df: df.select("t", B.masked(F.col("t")).alias("m")).select("t", F.size("m.masks").alias("n"), B.restored(F.col("m.masked"), F.col("m.masks")).alias("b"))
+    assert out(texts.limit(10)).where("t = b and n = 200").count() == 10
+    before = max(p.memory_info().rss / 2**20 for p in kin())
+    for p in kin():
+        Path(f"/proc/{p.pid}/clear_refs").write_text("5")
+    assert out(texts).where("t = b and n = 200").count() == 3000
+    assert max(map(peak, kin())) < before + 150
+
+
+def test_packed_is_greedy_packing_of_tokens(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(k, "".join(rng.choice("aab。， \n\U00020000") * rng.choice((1, 1, 1, 3, 9)) for _ in range(rng.randrange(40)))) for k in range(500)]
+    df = spark.createDataFrame([*rows, (500, None)], "doc_id long, text string")
+    for most in (0, 1, 5, 12):
+        assert df.where(~T.packed(F.col("text"), most).eqNullSafe(T.pack_tokens(T.source_tokens(F.col("text")), most))).count() == 0
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = __spark_entry__.queries()["pa_token_packing"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "aggregate(" not in plan  # no step for each token
+
+
+def test_characters_of_a_long_sentence(spark, tmp_path):
+    """The sentence's digest is computed once, not for each of its characters."""
+    long = "ab\U00020000d " * 40_000 + "e."
+    spark.createDataFrame([(1, long), (2, " "), (3, None), (4, "a. b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.monotonic()
+    got = __spark_entry__.queries()["pa_characters"](spark, str(tmp_path)).orderBy("doc_id", "sentence", "n").collect()
+    assert time.monotonic() - began < 30
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    whole = digest(long)
+    want = [(1, whole, k, c) for k, c in enumerate(long, 1)] + sorted([(4, digest("a."), 1, "a"), (4, digest("a."), 2, "."), (4, digest("b"), 1, "b")])
+    same = [tuple(r) for r in got] == want
+    assert same
+
+
 def test_command_line(spark, tmp_path):
     spark.createDataFrame([("子曰 學而", "A b. C d."), ("", "x"), ("甲 乙", "e f g")], "src string, tgt string").coalesce(1).write.parquet(str(tmp_path / "in.parquet"))
     assert cli.main(["sa", str(tmp_path / "in.parquet"), str(tmp_path / "sa.parquet"), "--embedder", "hash"]) == 0
